@@ -7,8 +7,8 @@ overlapping halves into one, until the target length is reached or no candidate
 target length have 128 bits. Equal documents are first reduced to one, whose words are all repeated; the others
 of a group need no windows.
 
-Windows of one anchor that is very frequent (more than a HOT_SHARE-th of all anchors) are combined on the map
-side before they meet; all others take one shuffle with bounded groups. Texts meet what was found about them by
+Windows of one anchor that is very frequent (more than a HOT_SHARE-th of all anchors) meet in salted groups first
+and one row a salt afterwards; all others take one shuffle with bounded groups. Texts meet what was found about them by
 the 128-bit digest of their word sequence, and digests held by many documents are broadcast, so no group of
 copies is shuffled.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, Scratch, join_unique
 
 WINDOW = 35
+#: Salted groups of a window under a hot anchor.
+SALTS = 256
 #: Lanes of a window hash: odd multipliers and offsets of the two mixers.
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 OFFSET = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x165667B19E3779F9))
@@ -294,12 +296,15 @@ def repeated_words(
         .select("text", "did", "dup", "alive", "hot")
         .mapInArrow(_windows(window), "lo long, hi long, did long, at int, hot boolean, dup boolean")
     )
-    # target level: windows that occur again; under a cold anchor no group exceeds `limit`
-    cold = windows.filter(~F.col("hot")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lo", "hi")))
-    cold = cold.filter("n > 1").filter(~F.col("dup")).select("did", "at")
-    hot = windows.filter("hot").withColumn("key", F.struct("lo", "hi"))
-    hot_again = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marks = cold.unionByName(hot.filter(~F.col("dup")).join(hot_again, "key").select("did", "at"))
+    # target level: windows that occur again. Under a cold anchor no group exceeds `limit`; under a hot one they
+    # first meet by salt, and then at most one row a salt, so that neither group grows with the corpus's copies.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("did", "at"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    met = Window.partitionBy("lo", "hi", "salt")
+    windows = windows.withColumn("salt", salt)
+    windows = windows.withColumn("n", F.count(F.lit(1)).over(met)).withColumn("r", F.row_number().over(met.orderBy("did", "at")))
+    lone = windows.filter(F.col("hot") & (F.col("r") == 1)).withColumn("salts", F.count(F.lit(1)).over(Window.partitionBy("lo", "hi")))
+    marks = windows.filter("n > 1").unionByName(lone.filter("n = 1 and salts > 1").drop("salts"))
+    marks = marks.filter(~F.col("dup")).select("did", "at")
     marks = marks.groupBy("did").agg(F.collect_list("at").alias("at"))
     known = facts.filter(~many).join(marks, "did").select("dg", F.lit(False).alias("gone"), "at")
     known = known.unionByName(facts.filter(many).select("dg", F.lit(True).alias("gone"), F.lit(None).cast("array<int>").alias("at")))
