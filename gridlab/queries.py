@@ -1,4 +1,349 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and equivalent SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import encode
+from .functions.random import uniform
+from .operators import apportion, describe, field, layout, place
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+COORDS = ["user_id", "day"]
+KINDS = ["click", "error", "purchase", "signup", "view"]
+CUBE = "cube AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, " + ", ".join(f"max(CASE WHEN event_type = '{k}' THEN value END) AS {k}" for k in KINDS) + " FROM events GROUP BY 1, 2)"
+SEED = 7
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a sparse cube over (user_id, day): one variable an event type, its largest value."""
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("day")
+    rows = table(spark, sf_dir, "events").select("user_id", day, "event_type", "value")
+    return rows.groupBy(*COORDS).agg(*[F.max(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in KINDS])
+
+
+# -- describe -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CUBE}, " + "a AS (SELECT 'user_id' AS coord, user_id AS x, * FROM cube UNION ALL BY NAME SELECT 'day' AS coord, day AS x, * FROM cube) SELECT coord, count(DISTINCT x) AS n_values, " + ", ".join(f"count(DISTINCT CASE WHEN {k} IS NOT NULL THEN x END) AS n_{k}" for k in KINDS) + " FROM a GROUP BY coord")
+def grid_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.axes(cube(spark, sf_dir), COORDS, KINDS)
+
+
+@query(f"WITH {CUBE} SELECT user_id, day::BIGINT AS day, {', '.join(KINDS)} FROM cube")
+def cube_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube(spark, sf_dir).orderBy(*[F.col(c).asc_nulls_last() for c in COORDS])
+
+
+def _long(columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS k, '{v}' AS variable, {columns.replace('@', v)} FROM cube" for i, v in enumerate(KINDS))
+
+
+_FACTS = f"""WITH {CUBE}, g AS (SELECT count(DISTINCT user_id) AS u, count(DISTINCT day) AS d FROM cube),
+    f AS ({_long("count(@) AS occ, count(DISTINCT CASE WHEN @ IS NOT NULL THEN user_id END) AS su, count(DISTINCT CASE WHEN @ IS NOT NULL THEN day END) AS sd")}),
+    r AS (SELECT variable AS ref, occ AS ref_occ FROM f ORDER BY occ DESC, k LIMIT 1),
+    b AS (SELECT variable, both_held FROM ({" UNION ALL ".join(f"SELECT '{v}' AS variable, (SELECT ref FROM r) AS ref, CASE (SELECT ref FROM r) " + " ".join(f"WHEN '{w}' THEN count(CASE WHEN {v} IS NOT NULL AND {w} IS NOT NULL THEN 1 END)" for w in KINDS) + " END AS both_held FROM cube" for v in KINDS)})),
+    s AS (SELECT CASE WHEN variable = ref THEN 0 ELSE row_number() OVER (ORDER BY variable = ref, k) END::INT AS position, variable, u * d AS var_sites,
+          occ AS var_sites_occupied, occ / (u * d)::DOUBLE AS density, CASE WHEN variable <> ref THEN both_held / greatest(ref_occ, 1)::DOUBLE END AS overlap,
+          CASE WHEN variable <> ref AND occ > 0 THEN both_held / occ::DOUBLE END AS overlap_reverse, (u - su) + (d - sd) AS unused_coords, 'double' AS dtype
+          FROM f JOIN b USING (variable), g, r)"""
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.describe(cube(spark, sf_dir), COORDS, KINDS, dims={k: COORDS for k in KINDS})
+
+
+@query(f"{_FACTS} SELECT * FROM s")
+def describe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(spark, sf_dir).drop("dims", "assumed_constant", "ambiguous_dims")
+
+
+@query(f"{_FACTS} SELECT variable, var_sites, var_sites_occupied, density FROM s")
+def describe_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(spark, sf_dir).select("variable", "var_sites", "var_sites_occupied", "density")
+
+
+@query(f"{_FACTS} SELECT variable, overlap, overlap_reverse FROM s")
+def describe_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(spark, sf_dir).select("variable", "overlap", "overlap_reverse")
+
+
+@query(f"{_FACTS} SELECT variable, unused_coords FROM s")
+def unused_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(spark, sf_dir).select("variable", "unused_coords")
+
+
+@query(f"{_FACTS} SELECT variable AS reference FROM s WHERE position = 0")
+def reference_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(spark, sf_dir).filter("position = 0").select(F.col("variable").alias("reference"))
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (l_orderkey, l_linenumber): the line's largest quantity and its order's price."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    prices = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    return lines.join(prices, "l_orderkey")
+
+
+LINES = """rows AS (SELECT l_orderkey, l_linenumber, l_quantity, o_totalprice FROM
+    (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) JOIN orders ON l_orderkey = o_orderkey)"""
+_LEVEL = " UNION ALL ".join(
+    f"""SELECT '{v}' AS variable, '{d}' AS without, coalesce(sum(CASE WHEN lo <> hi OR n <> held THEN 1 ELSE 0 END), 0) = 0 AS fits, count(*) AS sites
+        FROM (SELECT {k}, count(*) AS n, count({v}) AS held, min({v}) AS lo, max({v}) AS hi FROM rows GROUP BY {k}) WHERE held > 0"""
+    for v in ("l_quantity", "o_totalprice")
+    for d, k in (("l_orderkey", "l_linenumber"), ("l_linenumber", "l_orderkey"))
+)
+
+
+@query(f"WITH {LINES} {_LEVEL}")
+def dims_fit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, out = order_lines(spark, sf_dir), []
+    for v in ("l_quantity", "o_totalprice"):
+        found = describe.lattice_level(rows, v, [("l_linenumber",), ("l_orderkey",)])
+        out += [(v, "l_orderkey" if kept == ("l_linenumber",) else "l_linenumber", *got) for kept, got in found.items()]
+    return spark.createDataFrame(out, "variable string, without string, fits boolean, sites long")
+
+
+@query(
+    f"""WITH {LINES}, level AS ({_LEVEL}), n AS (SELECT count(*) AS n FROM rows),
+    w AS (SELECT variable, without FROM level, n WHERE fits AND n > sites)
+    SELECT v.variable, CASE WHEN w.without = 'l_orderkey' THEN 'l_linenumber' WHEN w.without = 'l_linenumber' THEN 'l_orderkey' ELSE 'l_orderkey,l_linenumber' END AS dims
+    FROM (SELECT DISTINCT variable FROM level) v LEFT JOIN w USING (variable)"""
+)
+def infer_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, coords = order_lines(spark, sf_dir), ["l_orderkey", "l_linenumber"]
+    sizes = {r["coord"]: r["n_values"] for r in describe.axes(rows, coords, ["l_quantity"]).collect()}
+    found = [(v, ",".join(describe.infer_dims(rows, coords, v, sizes).dims)) for v in ("l_quantity", "o_totalprice")]
+    return spark.createDataFrame(found, "variable string, dims string")
+
+
+@query(
+    f"""WITH {CUBE}, c AS (SELECT count(click) AS ref_size, count(error) AS var_size, count(CASE WHEN click IS NOT NULL AND error IS NOT NULL THEN 1 END) AS shared FROM cube)
+    SELECT *, CASE WHEN ref_size > 0 THEN shared / ref_size::DOUBLE ELSE 0 END AS overlap, CASE WHEN var_size > 0 THEN shared / var_size::DOUBLE ELSE 0 END AS overlap_reverse FROM c"""
+)
+def overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cube(spark, sf_dir)
+    return place.overlap_report(rows.filter("click is not null"), rows.filter("error is not null"), COORDS)
+
+
+@query(
+    f"""WITH {CUBE}, g AS (SELECT count(DISTINCT user_id) AS u, count(DISTINCT day) AS d FROM cube)
+    SELECT count(*) AS n_rows, ({" + ".join(f"count(*) - count({k})" for k in KINDS)}) AS tabular_null_cells, any_value(u * d) AS grid_points,
+    any_value(u + d) AS array_coord_values, any_value(u * d * 5) AS array_values, any_value(u * d * 5) - ({" + ".join(f"count({k})" for k in KINDS)}) AS array_null_cells FROM cube, g"""
+)
+def storage_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.storage_schema(cube(spark, sf_dir), COORDS, KINDS)
+
+
+# -- layout -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal, n_regionkey FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT NULL, n_nationkey, NULL, n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def fewer_dims_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A variable on (supplier, nation) and one on nation, repeated for each supplier."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    dims = ["s_suppkey", "s_nationkey"]
+    return layout.to_table({"s_acctbal": (dims, suppliers), "n_regionkey": (["s_nationkey"], nations)}, dims)
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal, n_regionkey FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) LEFT JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT NULL, n_nationkey, NULL, n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fewer_dims_repeat, with nations that no rich supplier has as rows of their own."""
+    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select("s_suppkey", "s_nationkey", "s_acctbal")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    dims = ["s_suppkey", "s_nationkey"]
+    return layout.to_table({"s_acctbal": (dims, suppliers), "n_regionkey": (["s_nationkey"], nations)}, dims)
+
+
+@query("SELECT p_brand, p_type, max(p_retailprice) AS p_retailprice FROM part GROUP BY 1, 2")
+def project_constant_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.project(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_retailprice")
+
+
+@query(f"WITH {CUBE}, s AS (SELECT user_id, unnest(range(30)) AS day FROM (SELECT DISTINCT user_id FROM cube)) SELECT s.user_id, array_to_string(list(coalesce(printf('%.2f', click), '-') ORDER BY s.day), ' ') AS slab FROM s LEFT JOIN cube ON s.user_id = cube.user_id AND s.day = cube.day GROUP BY 1")
+def slab_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense array of 30 days a user, as text so that it can be compared."""
+    rows = cube(spark, sf_dir)
+    users = rows.agg(F.max("user_id")).first()[0] + 1
+    slabs = layout.to_slabs(rows, "user_id", ["day"], {"user_id": users, "day": 30}, "click")
+    text = F.array_join(F.transform("slab", lambda x: F.when(x.isNull(), "-").otherwise(F.format_string("%.2f", x))), " ")
+    return slabs.join(rows.select("user_id").distinct(), "user_id", "left_semi").select("user_id", text.alias("slab"))
+
+
+# -- apportionment and chunks -------------------------------------------------------------------------------------
+
+_SHARES = """b AS (SELECT c_nationkey AS bin, count(*)::DOUBLE AS w FROM customer GROUP BY 1),
+    r AS (SELECT bin, w, 1000 * w / sum(w) OVER () AS raw FROM b), l AS (SELECT *, floor(raw) AS low FROM r),
+    p AS (SELECT *, row_number() OVER (ORDER BY raw - low DESC, bin DESC) AS place, 1000 - sum(low) OVER () AS short FROM l)"""
+
+
+@query(f"WITH {_SHARES} SELECT bin, (low + CASE WHEN place <= short THEN 1 ELSE 0 END)::BIGINT AS share FROM p")
+def apportion_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("bin")).agg(F.count(F.lit(1)).alias("w"))
+    return apportion.apportion(bins, F.lit(1000), "w", "bin").select("bin", "share")
+
+
+@query()
+def apportion_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1000 units over nations by customers, at most 42 each."""
+    bins = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("bin")).agg(F.count(F.lit(1)).alias("w"))
+    return apportion.apportion_capped(bins.withColumn("cap", F.lit(42).cast("long")), F.lit(1000), "w", "cap", "bin").select("bin", "share")
+
+
+@query("WITH n AS (SELECT count(DISTINCT o_orderdate) AS n FROM orders), k AS (SELECT unnest(range(7)) AS chunk) SELECT chunk::BIGINT AS chunk, (chunk * (n // 7) + least(chunk, n % 7))::BIGINT AS lo, ((chunk + 1) * (n // 7) + least(chunk + 1, n % 7))::BIGINT AS hi FROM k, n")
+def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "orders").select("o_orderdate").distinct().count()
+    return spark.createDataFrame([(k, *b) for k, b in enumerate(apportion.chunk_bounds(n, 7))], "chunk long, lo long, hi long")
+
+
+# -- placement ----------------------------------------------------------------------------------------------------
+
+
+def _u(tag: int, *index: str) -> str:
+    key = f"concat_ws(':', '{SEED}', '{tag}'" + "".join(f", {i}" for i in index) + ")"
+    return f"(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+STRATA, PLANE = 40, 50
+GRID = f"grid AS (SELECT j, k FROM (SELECT unnest(range({STRATA}))::BIGINT AS j), (SELECT unnest(range({PLANE}))::BIGINT AS k))"
+COUNTS = f"counts AS (SELECT unnest(range({STRATA}))::BIGINT AS j, j % 7 + 3 AS n)"
+HELD = "held AS (SELECT j, k FROM grid WHERE (j * 31 + k * 17) % 5 < 2)"
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    return place.cells(spark, STRATA, PLANE)
+
+
+def _counts(spark: SparkSession) -> DataFrame:
+    return spark.range(STRATA).select(F.col("id").alias("j"), (F.col("id") % 7 + 3).alias("n"))
+
+
+def _held(spark: SparkSession) -> DataFrame:
+    return _grid(spark).filter((F.col("j") * 31 + F.col("k") * 17) % 5 < 2)
+
+
+@query(f"SELECT i - 1 AS i, x FROM (SELECT row_number() OVER (ORDER BY x) AS i, x FROM (SELECT {_u(0, '1', 'd')} AS x FROM (SELECT unnest(range(500)) AS d)))")
+def axis_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.axis_table(spark, SEED, 1, 500).select(F.col("i").cast("long"), "x")
+
+
+@query(f"SELECT p::BIGINT AS p, (row_number() OVER (ORDER BY {_u(1, '0', 'p')}) - 1) % 60 AS i0, (row_number() OVER (ORDER BY {_u(1, '1', 'p')}) - 1) % 25 AS i1 FROM (SELECT unnest(range(60)) AS p)")
+def lhs_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.lhs(spark, SEED, [60, 25])
+
+
+@query(f"WITH {GRID}, {COUNTS}, {HELD}, f AS (SELECT j, k, row_number() OVER (PARTITION BY j ORDER BY {_u(2, 'j', 'k')}, k) AS r FROM grid WHERE (j, k) NOT IN (SELECT j, k FROM held)) SELECT j, k FROM f JOIN counts USING (j) WHERE r <= n")
+def stratified_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.stratified_fill(spark, SEED, _grid(spark), _held(spark), _counts(spark)).select("j", "k")
+
+
+@query(f"WITH {COUNTS} SELECT j, unnest(range(n))::BIGINT AS cell FROM counts")
+def padded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.padded_lines(_counts(spark)).select("j", "cell")
+
+
+@query(f"WITH {GRID}, {COUNTS}, {HELD}, f AS (SELECT j, k, row_number() OVER (PARTITION BY j ORDER BY {_u(11, 'j', 'k')}, k) AS r FROM held) SELECT j, k FROM f JOIN counts USING (j) WHERE r <= n")
+def overlap_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.overlap_prefix(SEED, _held(spark), _counts(spark), "n").select("j", "k")
+
+
+@query(f"WITH {GRID}, {COUNTS}, {HELD}, f AS (SELECT j, k, row_number() OVER (PARTITION BY j ORDER BY {_u(10, '3', 'j', 'k')}, k) AS r FROM held) SELECT j, k FROM f JOIN counts USING (j) WHERE r <= n")
+def overlap_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.overlap_prefix(SEED, _held(spark), _counts(spark), "n", var=3).select("j", "k")
+
+
+@query(f"WITH {GRID}, {COUNTS}, {HELD}, f AS (SELECT j, k, row_number() OVER (PARTITION BY j ORDER BY {_u(10, '3', 'j', 'k')}, k) AS r FROM grid WHERE (j, k) NOT IN (SELECT j, k FROM held)) SELECT j, k FROM f JOIN counts USING (j) WHERE r <= n")
+def remainder_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.remainder_outside(SEED, 3, _grid(spark), _held(spark), _counts(spark), "n").select("j", "k")
+
+
+@query(f"WITH {GRID}, {HELD} SELECT j, k, row_number() OVER (PARTITION BY j ORDER BY k) - 1 AS r FROM grid WHERE (j, k) NOT IN (SELECT j, k FROM held)")
+def rank_to_free_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place.free_cells(_grid(spark), _held(spark)).select("j", "k", F.col("r").cast("long"))
+
+
+@query(f"WITH {GRID}, {COUNTS}, {HELD}, p AS (SELECT j, n, count(*) AS held FROM counts JOIN held USING (j) GROUP BY ALL) SELECT j, greatest(greatest(0, n - ({PLANE} - held)), least(n, held, round_even(0.35 * held, 0)))::BIGINT AS both_held FROM p")
+def overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _held(spark).groupBy("j").agg(F.count(F.lit(1)).alias("held"))
+    strata = _counts(spark).join(held, "j").withColumn("plane", F.lit(PLANE))
+    return place.overlap_counts(strata, 0.35, "n", "held", "plane").select("j", F.col("both").alias("both_held"))
+
+
+# -- encodings and fields -----------------------------------------------------------------------------------------
+
+_PACK = encode.Packing("int16", 0.0, 0.1)
+_SCALE, _OFFSET, _KIND = _PACK.parameters
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem")
+
+
+def _keys() -> list[str]:
+    return _LINE.split(", ")
+
+
+@query(f"SELECT {_LINE}, 5.0::DOUBLE + 20.0::DOUBLE * l_discount AS v FROM lineitem")
+def affine_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(*_keys(), encode.affine(F.col("l_discount"), 5, 25).alias("v"))
+
+
+@query(f"SELECT {_LINE}, least(9, greatest(-3, -3 + floor(l_discount * 13)))::BIGINT AS v FROM lineitem")
+def int_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(*_keys(), encode.int_bins(F.col("l_discount"), -3, 9).alias("v"))
+
+
+@query(f"SELECT {_LINE}, l_extendedprice::FLOAT::DOUBLE AS v FROM lineitem")
+def f32_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(*_keys(), encode.single(F.col("l_extendedprice")).alias("v"))
+
+
+@query(f"SELECT {_LINE}, least(32767, greatest(-32766, round_even((l_tax - {_OFFSET!r}::DOUBLE) / {_SCALE!r}::DOUBLE, 0)))::SMALLINT AS code FROM lineitem")
+def pack_int16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(*_keys(), _PACK.code(F.col("l_tax")).alias("code"))
+
+
+@query("SELECT o_orderkey, lpad(upper(" + " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', (o_orderkey // {36**i}) % 36 + 1, 1)" for i in (4, 3, 2, 1, 0)) + "), 5, '0') AS code FROM orders")
+def base36_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", encode.base36(F.col("o_orderkey"), 5).alias("code"))
+
+
+_PHASE = np.arange(8) * 0.7
+_WAVES = np.stack([np.linspace(-0.3, 0.4, 8), np.linspace(0.2, -0.1, 8)], axis=1)
+
+
+@query(
+    f"WITH {GRID} SELECT j, k, round(("
+    + " + ".join(f"cos({float(p)!r}::DOUBLE + {float(a)!r}::DOUBLE * j + {float(b)!r}::DOUBLE * k)" for p, (a, b) in zip(_PHASE, _WAVES))
+    + ") * sqrt(2.0::DOUBLE / 8), 6) AS s FROM grid"
+)
+def field_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark).select("j", "k", F.round(field.wave_sum(_PHASE, _WAVES, [F.col("j"), F.col("k")]), 6).alias("s"))
+
+
+@query(f"WITH {GRID} SELECT j, k, {_u(10, '0', 'j', 'k')} AS u FROM grid")
+def random_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark).select("j", "k", uniform(SEED, 10, F.lit(0), F.col("j"), F.col("k")).alias("u"))
