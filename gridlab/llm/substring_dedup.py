@@ -267,6 +267,7 @@ def repeated_words(
         rows.select("doc_id", "text").mapInArrow(_anchors(window), f"doc_id {kind}, dg binary, n_words long, seeds array<long>"),
         "found",
     )
+    by_digest = scratch.save(found.select("doc_id", "dg", "n_words"), "by_digest")
     # one row a word sequence: how many documents hold it, one of them, its anchors
     distinct = scratch.save(
         found.groupBy("dg")
@@ -274,6 +275,7 @@ def repeated_words(
         .withColumn("did", F.monotonically_increasing_id()),
         "distinct",
     )
+    scratch.drop(found)
     n_docs, n_anchors = (x or 0 for x in distinct.agg(F.sum("n_docs"), F.sum(F.size("seeds"))).first())
     many = F.col("n_docs") > 1
     # first level: anchors that repeat
@@ -284,6 +286,8 @@ def repeated_words(
         F.collect_set("seed").alias("alive"), F.collect_set(F.when(F.col("n") > limit, F.col("seed"))).alias("hot")
     )
     facts = scratch.save(distinct.drop("seeds").join(alive, "did", "left").filter(many | F.col("alive").isNotNull()), "facts")
+    copied = scratch.save(distinct.filter(many).select("dg", "n_docs"), "copied")
+    scratch.drop(distinct, again)
     # of a digest that many documents hold, only one enters the shuffle of texts, for its windows
     common = F.broadcast(facts.filter(F.col("n_docs") > max(n_docs // HOT_SHARE, 1)).select("dg", F.col("rep").alias("one")))
     texts = rows.mapInArrow(_keyed(window), f"doc_id {kind}, text string, carry {dict(rows.dtypes)['carry']}, dg binary")
@@ -296,15 +300,17 @@ def repeated_words(
         .select("text", "did", "dup", "alive", "hot")
         .mapInArrow(_windows(window), "lo long, hi long, did long, at int, hot boolean, dup boolean")
     )
-    # target level: windows that occur again. Under a cold anchor no group exceeds `limit`; under a hot one they
-    # first meet by salt, and then at most one row a salt, so that neither group grows with the corpus's copies.
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("did", "at"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    # target level: windows that occur again. Under a cold anchor no group exceeds `limit`. Under a hot one windows
+    # first meet by salt, and then one row a salt, so that neither group grows with the corpus's copies.
+    cold = windows.filter(~F.col("hot")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lo", "hi")))
+    cold = cold.filter("n > 1").filter(~F.col("dup")).select("did", "at")
     met = Window.partitionBy("lo", "hi", "salt")
-    windows = windows.withColumn("salt", salt)
-    windows = windows.withColumn("n", F.count(F.lit(1)).over(met)).withColumn("r", F.row_number().over(met.orderBy("did", "at")))
-    lone = windows.filter(F.col("hot") & (F.col("r") == 1)).withColumn("salts", F.count(F.lit(1)).over(Window.partitionBy("lo", "hi")))
-    marks = windows.filter("n > 1").unionByName(lone.filter("n = 1 and salts > 1").drop("salts"))
-    marks = marks.filter(~F.col("dup")).select("did", "at")
+    hot = windows.filter("hot").withColumn("salt", F.pmod(F.xxhash64("did", "at"), F.lit(SALTS)))
+    hot = hot.withColumn("n", F.count(F.lit(1)).over(met)).withColumn("first", F.row_number().over(met.orderBy("did", "at")) == 1)
+    apart = F.when(F.col("first"), F.lit(0)).otherwise(F.xxhash64("did", "at"))
+    hot = hot.withColumn("salts", F.count(F.lit(1)).over(Window.partitionBy("lo", "hi", apart)))
+    hot = hot.filter(~F.col("dup") & ((F.col("n") > 1) | (F.col("salts") > 1))).select("did", "at")
+    marks = cold.unionByName(hot)
     marks = marks.groupBy("did").agg(F.collect_list("at").alias("at"))
     known = facts.filter(~many).join(marks, "did").select("dg", F.lit(False).alias("gone"), "at")
     known = known.unionByName(facts.filter(many).select("dg", F.lit(True).alias("gone"), F.lit(None).cast("array<int>").alias("at")))
@@ -316,8 +322,7 @@ def repeated_words(
         .mapInArrow(_finish(window, digest), shape)
     )
     # copies of at least a window lose all words, so their texts aren't read again
-    copied = scratch.save(distinct.filter(many).select("dg", "n_docs"), "copied")
-    whole = join_unique(found.select("doc_id", "dg", "n_words"), copied, "dg", n_docs, "n_docs").select(
+    whole = join_unique(by_digest, copied, "dg", n_docs, "n_docs").select(
         "doc_id",
         "n_words",
         F.col("n_words").alias("n_removed"),
