@@ -128,12 +128,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(schema)
 
 
-def _table(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """df written as a table bucketed by block, so that joins on block don't move it."""
+def _table(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """df written as a table bucketed by block, so that joins on block don't move it; and the table's name."""
     spark = df.sparkSession
     name, n = f"gridlab_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, "block").option("path", f"{scratch.root}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    scratch.paths[id(out := spark.table(name))] = f"{scratch.root}/{name}"
+    return out, name
 
 
 def low(key: Column, n: int) -> Column:
@@ -190,7 +191,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "kneser-ney")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    blocks = _table(
+    blocks, name = _table(
         rows.mapInArrow(_blocks, f"block string, ids array<{kind}>, langs array<string>, sealed binary, keys array<long>"), scratch
     )
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct()
@@ -235,10 +236,13 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     scored = scored.withColumn("nll", F.nanvl("nll", F.lit(None).cast("double")))
     marked = trusted.withColumn("trusted", F.lit(True))
-    return scratch.save(
+    out = scratch.save(
         scored.join(marked, ["block", "at"], "left").select("doc_id", "lang", "n_units", "nll", F.coalesce("trusted", F.lit(False)).alias("trusted")),
         "scores",
     )
+    spark.sql(f"DROP TABLE {name}")
+    scratch.drop(blocks, trusted, counts, known)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
