@@ -77,6 +77,10 @@ class Scratch:
         for t in tables:
             _remove(self.spark, self.paths.pop(id(t)))
 
+    def clear(self) -> None:
+        _remove(self.spark, self.root)
+        self.paths.clear()
+
 
 def join_unique(left: DataFrame, right: DataFrame, on: str, n_left: int, weight: str) -> DataFrame:
     """Inner join of many left rows with one right row a key, safe for hot keys.

@@ -210,7 +210,9 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = sealed.cogroup(trusted.groupBy("block")).applyInPandas(tally, "key long, c long")
     counts = scratch.save(counts.groupBy("key").agg(F.sum("c").alias("c")), "counts")
     asked = blocks.select(F.col("block").alias("asker"), F.explode("keys").alias("key"))
-    known = scratch.save(probabilities(asked.select("key").distinct(), counts, scratch), "known")
+    model = Scratch(spark, "kneser-ney-model")
+    known = scratch.save(probabilities(asked.select("key").distinct(), counts, model), "known")
+    model.clear()
     answers = asked.join(known, "key")
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
