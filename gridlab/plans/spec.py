@@ -11,6 +11,7 @@ import numpy as np
 from ..functions.encode import Encoding, spread
 from ..functions.random import CONST_COORD, DENSITY, VAR_DIMS, numpy_stream
 from ..operators.apportion import chunk_bounds
+from ..operators.field import lengths
 
 
 def positive(name: str, value: int, least: int = 1) -> int:
@@ -65,12 +66,16 @@ class GridSpec:
     layout: str = "scattered"
     padded_dim: int | None = None
     max_obs: int | None = None
+    data_structure: object = "uncorrelated"
+    correlation_length: object = None
+    noise: object = None
     shape: list[int] = field(init=False)
     dims: list[list[int]] = field(init=False)
     var_num_obs: list[int] = field(init=False)
     pinned: list[dict[int, int]] = field(init=False)
     split: int = field(init=False)
     encodings: list[Encoding] = field(init=False)
+    fields: list[tuple[list[float | None], float] | None] = field(init=False)
 
     def __post_init__(self) -> None:
         positive("num_obs", self.num_obs)
@@ -112,6 +117,7 @@ class GridSpec:
         self.fixed_overlap = list(fixed)
         columns = [spread(x, self.num_vars) for x in (self.dtype, self.pack, self.fill_value, self.value_range)]
         self.encodings = [Encoding(d or "float64", p, f, r) for d, p, f, r in zip(*columns)]
+        self.fields = self._fields()
 
     def _densities(self) -> list[float]:
         if self.density is None and self.sparsity is None:
@@ -191,6 +197,26 @@ class GridSpec:
             out.append(float(t))
         return out
 
+    def _fields(self) -> list[tuple[list[float | None], float] | None]:
+        """(correlation lengths, noise) of each correlated variable, None for the others."""
+        kinds, noises = spread(self.data_structure, self.num_vars), spread(self.noise, self.num_vars)
+        if not set(kinds) <= {"correlated", "uncorrelated"}:
+            raise ValueError(f"unknown data_structure in {kinds}")
+        if "correlated" not in kinds and (self.correlation_length is not None or any(noises)):
+            raise ValueError("correlation_length and noise need a correlated variable")
+        if isinstance(self.noise, (list, tuple)) and any(n for k, n in zip(kinds, noises) if k == "uncorrelated"):
+            raise ValueError("noise is given for an uncorrelated variable")
+        if any(n is not None and not 0 <= n <= 1 for n in noises):
+            raise ValueError("noise lies within 0 and 1")
+        if "correlated" not in kinds:
+            return [None] * self.num_vars
+        scale = lengths(self.correlation_length, self.num_dims)
+        used = {d for own, k in zip(self.dims, kinds) if k == "correlated" for d in own}
+        for d in sorted(used):
+            if scale[d] is not None and scale[d] > self.shape[d]:
+                warnings.warn(f"correlation length {scale[d]:g} on x{d} exceeds its {self.shape[d]} sites", stacklevel=4)
+        return [(scale, float(n or 0)) if k == "correlated" else None for k, n in zip(kinds, noises)]
+
     @property
     def chunks(self) -> list[tuple[int, int]]:
         n = 1 if self.max_obs is None else max(1, math.ceil(self.num_obs / self.max_obs))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlab.functions.encode import Encoding, Packing, base36, format_bytes
 from gridlab.functions.random import numpy_stream
-from gridlab.operators import apportion, field, layout, place
+from gridlab.operators import apportion, field, layout
 from gridlab.plans.spec import GridSpec, least_density
 
 
@@ -47,34 +47,6 @@ def test_apportion(spark):
         assert got == apportion.apportion_list(90, w, cap) and sum(got) == min(90, sum(cap))
 
 
-def test_documented_run(spark):
-    spec = GridSpec(num_obs=6, num_dims=2, density=6 / 9, seed=12345)
-    assert spec.shape == [3, 3]
-    x = place.coordinates(spec)
-    assert np.round(x[0], 4).tolist() == [0.1809, 0.35, 0.6837] and np.round(x[1], 4).tolist() == [0.7887, 0.91, 0.9353]
-    assert place.lhs_points(spec).T.tolist() == [[0, 1, 2], [1, 2, 0]]
-    rows = place.generate(spark, spec).orderBy("x0", "x1").collect()
-    assert [tuple(round(v, 6) for v in r) for r in rows] == [
-        (0.180929, 0.788706, 0.320146),
-        (0.180929, 0.910005, 0.550290),
-        (0.349984, 0.788706, 0.023239),
-        (0.349984, 0.935274, 0.742040),
-        (0.683725, 0.788706, 0.547495),
-        (0.683725, 0.910005, 0.134245),
-    ]
-
-
-def test_generation_does_not_depend_on_partitions(spark):
-    one = GridSpec(num_obs=300, num_dims=2, density=0.3, seed=5)
-    many = GridSpec(num_obs=300, num_dims=2, density=0.3, seed=5, max_obs=80, dtype="int16")
-    a = {tuple(r)[:2] for r in place.scattered(spark, one).collect()}
-    b = {tuple(r)[:2] for r in place.scattered(spark, many).collect()}
-    assert a == b and len(a) == one.num_obs
-    assert {i for i, _ in a} == set(range(one.shape[0])) and {j for _, j in a} == set(range(one.shape[1]))
-    values = [r["record"] for r in place.generate(spark, many).collect()]
-    assert min(values) >= 0 and max(values) <= 100
-
-
 def test_spec_rejects():
     for bad in (
         {"num_obs": 0, "num_dims": 1, "density": 1},
