@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import encode
 from .functions.random import uniform
-from .operators import apportion, describe, field, layout, place
+from .operators import apportion, describe, field, generate, layout, place
+from .plans.spec import GridSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -291,6 +292,22 @@ def overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.overlap_counts(strata, 0.35, "n", "held", "plane").select("j", F.col("both").alias("both_held"))
 
 
+_GENERATED = {"num_obs": 4000, "num_dims": 3, "ratio_dims": [1, 2, 1], "density": 0.25, "seed": SEED, "num_vars": 3, "var_dims": [3, 3, [0, 1]], "overlap": [0.5, 0.4]}
+
+
+@query()
+def generated_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three variables of a generated cube, one of them on two dims."""
+    return generate.generate(spark, GridSpec(**_GENERATED))
+
+
+@query(f"SELECT {GridSpec(**_GENERATED).num_obs}::BIGINT AS ref_size, {GridSpec(**_GENERATED).var_num_obs[1]}::BIGINT AS var_size, round_even(0.5 * {GridSpec(**_GENERATED).num_obs}, 0)::BIGINT AS shared")
+def generated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites that var0 and var1 share are as many as the target asks for."""
+    rows, on = generate.sites(spark, GridSpec(**_GENERATED)), ["i0", "i1", "i2"]
+    return place.overlap_report(rows.filter("var = 0"), rows.filter("var = 1"), on).select("ref_size", "var_size", "shared")
+
+
 # -- encodings and fields -----------------------------------------------------------------------------------------
 
 _PACK = encode.Packing("int16", 0.0, 0.1)
