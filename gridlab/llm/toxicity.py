@@ -6,7 +6,8 @@ from the correlations that remain within a class how much of its vote is its own
 linear classifier on the voters' findings, which gives the score.
 
 The lexicon is a seed of plain insults plus words and word beginnings that the training labels mark, chosen by
-their log-likelihood ratio. Fitting reads at most FIT_TOXIC and FIT_OTHER labelled documents in expectation,
+their log-likelihood ratio. An entry needs COUNT toxic texts, whatever share of all they are, so the vocabulary of a
+language with few texts is found too; copies of a text count as one, lest their other words pass for toxic. Fitting reads at most FIT_TOXIC and FIT_OTHER labelled documents in expectation,
 which bounds the one task that fits; scoring covers every whole text.
 
 Defined cases: a null or empty text has no findings and takes the classifier's base score; null labels are left
@@ -25,14 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
 
 FIT_TOXIC, FIT_OTHER = 1500, 4500
-#: Lexicon entries at most, least log-likelihood ratio of a mined one, least share of toxic texts that hold it.
-ENTRIES, LEAST, SHARE = 400, 30.0, 0.025
+#: Lexicon entries at most; of a mined one: least log-likelihood ratio, least number of toxic texts that hold it (copies
+#: of a text count once), and how many times its rate in other texts its rate in toxic ones must be.
+ENTRIES, LEAST, COUNT, LIFT = 400, 20.0, 5, 8
+#: Bands, and smallest hashes of a text's word triples in each; texts that share a band are copies.
+BANDS, BAND = 6, 3
 #: Entries that vote alone, grouped voters.
 ALONE, GROUPS = 32, 8
 #: Lengths of word beginnings that may be mined.
@@ -64,17 +69,46 @@ def ratio(a: int, c: int, toxic: int, other: int) -> float:
     return 2 * sum(x * math.log(x * n / (col * r)) for x, col, r in cells if x)
 
 
+def sketch(text: str) -> list[tuple[int, ...]]:
+    """The smallest of each of BANDS * BAND hashes over the triples of words, by bands."""
+    words = text.lower().split()
+    triples = {" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))}
+    h = np.array([xxhash.xxh3_64_intdigest(x) for x in triples], np.uint64)
+    least = [int((h * np.uint64(0x9E3779B97F4A7C15 + 2 * k) ^ (h >> np.uint64(29 + k))).min()) for k in range(BANDS * BAND)]
+    return [tuple(least[i : i + BAND]) for i in range(0, BANDS * BAND, BAND)]
+
+
+def copies(texts: list[str]) -> list[int]:
+    """For each text, the first one that it is a copy of, by a chain of shared bands."""
+    root, seen = list(range(len(texts))), {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, t in enumerate(texts):
+        for key in enumerate(sketch(t)):
+            a, b = sorted((find(i), find(seen.setdefault(key, i))))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def spread(texts: list[str], only: Counter | None = None) -> tuple[Counter, int]:
+    """How many texts hold a feature, copies counted once, and how many texts there are."""
+    groups: dict[int, set[str]] = {}
+    for t, first in zip(texts, copies(texts)):
+        held = features(t)
+        groups.setdefault(first, set()).update(held if only is None else (f for f in held if f in only))
+    return Counter(f for g in groups.values() for f in g), len(groups)
+
+
 def mine(texts: list[str], toxic: list[bool]) -> list[str]:
     """Lexicon entries, strongest first; an entry that a stronger beginning covers is left out."""
-    yes, no = Counter(), Counter()
-    for t, y in zip(texts, toxic):
-        if y:
-            yes.update(features(t))
-    for t, y in zip(texts, toxic):
-        if not y:
-            no.update(f for f in features(t) if f in yes)
-    n, m = sum(toxic), len(toxic) - sum(toxic)
-    scored = sorted(((-ratio(a, no[f], n, m), f) for f, a in yes.items() if a > max(1, SHARE * n) and 40 * no[f] * n <= a * max(m, 1)), key=lambda x: x)
+    yes, n = spread([t for t, y in zip(texts, toxic) if y])
+    yes = Counter({f: a for f, a in yes.items() if a >= COUNT})
+    no, m = spread([t for t, y in zip(texts, toxic) if not y], yes)
+    scored = sorted((-ratio(a, no[f], n, m), f) for f, a in yes.items() if LIFT * no[f] * n <= a * max(m, 1))
     out: list[str] = []
     begun: set[str] = set()
     for g, f in scored:

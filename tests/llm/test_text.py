@@ -232,3 +232,19 @@ def test_toxicity(spark, docs, no_docs):
     assert [r["score"] >= toxicity.THRESHOLD for r in toxicity.score(insult, plain).orderBy("doc_id").collect()] == [True, False]
 
 
+
+
+def test_toxicity_mines_the_vocabulary_of_few_texts():
+    """Eight of 408 toxic texts are of a rare language with insults of its own; a text copied nine times adds no words."""
+    rng = random.Random(5)
+
+    def text(language, *extra):
+        words = [f"{language}{''.join(rng.choices('aeiou', k=4))}" for _ in range(30)] + list(extra)
+        return " ".join(rng.sample(words, len(words)))
+
+    toxic = [text("k", "grumblock") for _ in range(400)] + [text("z", "snarfish" + rng.choice("ax")) for _ in range(8)]
+    toxic += [toxic[0] + " plainword"] * 9
+    other = [text("k") for _ in range(1500)] + [text("z") for _ in range(60)]
+    mined = toxicity.mine(toxic + other, [True] * len(toxic) + [False] * len(other))
+    assert any("snarfish".startswith(e[2:6]) for e in mined) and any("grumblock".startswith(e[2:6]) for e in mined)
+    assert not any("plainword".startswith(e[2:6]) for e in mined)
