@@ -7,8 +7,10 @@ lower order and the discounts follow. The distinct n-grams of all blocks are joi
 by order, and their probabilities return to the blocks that asked. Nothing that grows with the corpus is
 broadcast or collected; what is gathered grows with it.
 
-A document's score is its mean negative log probability a code unit. It is kept if that is at most the threshold
-of its language: the QUANTILE of trusted documents there plus a margin, wider for short texts, so clean documents pass.
+A document's score is its mean negative log probability a code unit. It is kept if that is at most the threshold of
+its language and size. The mean of n units scatters as 1 / sqrt(n), so the QUANTILE is taken of trusted documents'
+distances from their language's median times sqrt(n); the threshold is the median plus that quantile / sqrt(n) plus
+MARGIN, by which texts that the model was not fitted on lie higher.
 
 Defined cases: a null or empty text has no score and is rejected; a document without a language, or with one that
 has no trusted text, takes the threshold over all languages; without trusted text everything else is kept;
@@ -33,9 +35,8 @@ from .common import Scratch
 
 ORDER, START = 4, 2  # the unit that stands before a text's first
 UNITS = 1 << 16
-QUANTILE, MARGIN = 0.99, 0.15
-#: A text of n units is allowed SLACK / sqrt(n) more: the mean of few units scatters.
-SLACK = 2.0
+#: MARGIN is twice the gap of the means of fitted and other ordinary texts of sf0.1.
+QUANTILE, MARGIN = 0.99, 0.02
 #: Code units of text in a block, and of the runs that are worked on at once.
 BLOCK, RUN = 16_000_000, 1_000_000
 ACCURACY = 10_000
@@ -251,11 +252,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, lang, n_units, nll, perplexity, threshold (of nll), trusted, kept."""
     scored = scores(docs, labels, id_col, text_col, lang_col, label_col)
     sure = scored.filter(F.col("trusted") & F.col("nll").isNotNull())
-    limit = (F.percentile_approx("nll", F.lit(QUANTILE), F.lit(ACCURACY)) + MARGIN).alias("threshold")
-    overall = sure.agg(limit).first()["threshold"]
-    by_lang = F.broadcast(sure.filter("lang is not null").groupBy("lang").agg(limit))  # one row a language of trusted text
-    got = scored.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
-    got = got.withColumn("threshold", F.col("threshold") + SLACK / F.sqrt(F.greatest("n_units", F.lit(1))))
+    root = F.sqrt(F.greatest("n_units", F.lit(1)))
+
+    def quantile(value: Column, q: float) -> Column:
+        return F.percentile_approx(value, F.lit(q), F.lit(ACCURACY))
+
+    far = (F.col("nll") - F.col("middle")) * root
+    middle = sure.agg(quantile(F.col("nll"), 0.5).alias("middle")).first()["middle"]
+    scatter = sure.withColumn("middle", F.lit(middle).cast("double")).agg(quantile(far, QUANTILE).alias("scatter")).first()["scatter"]
+    ours = sure.filter("lang is not null")
+    middles = F.broadcast(ours.groupBy("lang").agg(quantile(F.col("nll"), 0.5).alias("middle")))  # one row a language of trusted text
+    by_lang = F.broadcast(ours.join(middles, "lang").groupBy("lang").agg(F.first("middle").alias("middle"), quantile(far, QUANTILE).alias("scatter")))
+    got = scored.join(by_lang, "lang", "left")
+    own = F.coalesce("middle", F.lit(middle).cast("double")) + F.coalesce("scatter", F.lit(scatter).cast("double")) / root
+    got = got.withColumn("threshold", own + MARGIN)
     kept = F.col("nll").isNotNull() & F.coalesce(F.col("nll") <= F.col("threshold"), F.lit(True))
     return got.select("doc_id", "lang", "n_units", "nll", F.exp("nll").alias("perplexity"), "threshold", "trusted", kept.alias("kept"))
 

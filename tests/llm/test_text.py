@@ -248,3 +248,15 @@ def test_toxicity_mines_the_vocabulary_of_few_texts():
     mined = toxicity.mine(toxic + other, [True] * len(toxic) + [False] * len(other))
     assert any("snarfish".startswith(e[2:6]) for e in mined) and any("grumblock".startswith(e[2:6]) for e in mined)
     assert not any("plainword".startswith(e[2:6]) for e in mined)
+
+
+def test_quality_threshold_follows_the_scatter_of_sizes(spark, monkeypatch):
+    """A long text that is far out among long ones goes, though a short one of the same score may stay."""
+    rng = random.Random(6)
+    rows = [(i, "en", n, 1.6 + rng.gauss(0, 0.8) / math.sqrt(n), True) for i in range(400) for n in [rng.choice([25, 400, 2500])]]
+    rows += [(1000, "en", 25, 1.75, False), (1001, "en", 2500, 1.75, False), (1002, None, 2500, 1.75, False), (1003, "en", 2500, 1.63, False)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, n_units long, nll double, trusted boolean")
+    monkeypatch.setattr(kneser_ney, "scores", lambda *a: df)
+    kept = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(None, None).collect()}
+    assert [kept[i] for i in (1000, 1001, 1002, 1003)] == [True, False, False, True]
+    assert sum(kept[i] for i in range(400)) >= 395
