@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to a Python worker: bounds a worker's memory when texts are long.
@@ -93,3 +93,28 @@ def join_unique(left: DataFrame, right: DataFrame, on: str, n_left: int, weight:
     cold = right.filter(F.col(weight) <= limit)
     rest = left.join(hot.select(on), on, "left_anti")
     return left.join(hot, on).unionByName(rest.join(cold, on))
+
+
+def row_key(*cols: str) -> Column:
+    """128 bits, as hex, of the columns' values; null differs from every value. Rows with one key are repeated rows."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("null")) for c in (F.col(c).cast("string") for c in cols)]
+    return F.md5(F.concat(*parts))
+
+
+def keep_rows(docs: DataFrame, key: Column, verdicts: DataFrame, once: bool) -> DataFrame:
+    """The rows of docs whose key is kept, all columns unchanged; with once, one row of each key.
+
+    verdicts is a saved table (key, n, kept) with one row a key, n counting its rows in docs. Rows of keys that hold
+    more than a HOT_SHARE-th of all rows are decided, and with once combined, before any shuffle.
+    """
+    keyed = docs.withColumn("__key", key)
+    verdicts = verdicts.withColumnRenamed("key", "__key")
+    limit = max((verdicts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE, 1)
+    hot, cold = verdicts.filter(F.col("n") > limit), verdicts.filter(F.col("n") <= limit)
+    many = keyed.join(F.broadcast(hot.filter("kept").select("__key")), "__key")
+    few = keyed.join(F.broadcast(hot.select("__key")), "__key", "left_anti").join(cold.filter("kept").select("__key"), "__key")
+    if once:
+        many = many.groupBy("__key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+        few = few.withColumn("__at", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).filter(F.col("__at") == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return many.select(*columns).unionByName(few.select(*columns))

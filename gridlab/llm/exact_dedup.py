@@ -6,8 +6,10 @@ which there are at most 2 * K, are broadcast: their rows are decided on the map
 ordinary shuffle, in which no group holds more than about 1.5 / K of all rows.
 
 Defined cases: a null text counts as empty; empty texts are equal to one another; among equal texts the largest
-doc_id stays, a null doc_id counts as the smallest; rows that repeat both the text and the doc_id are decided
-alike, so all rows carrying the winning id are marked kept; an empty table gives an empty result. Only the id
+doc_id stays, a null doc_id counts as the smallest; rows that repeat both the text and the doc_id are marked
+alike, so all rows carrying the winning id are marked kept, but the stage leaves one of them (of texts that differ in
+case the one with the least key, of identical ones any); verdicts are by row, so rows that share an id, null included, do
+not share a fate; an empty table gives an empty result. Only the id
 and text columns are read, so other columns can't clash.
 """
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, keep_rows, row_key
 
 #: Counters of a Misra-Gries summary.
 K = 1024
@@ -49,12 +51,12 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest (32 bytes of the normalised text)."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """exact_groups with more columns of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     digests = scratch.save(
-        docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest")),
+        docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"), *more),
         "digests",
     )
     n = digests.count()
@@ -72,12 +74,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     decided = digests.join(F.broadcast(heavy), "digest").unionByName(
         rest.join(rest.groupBy("digest").agg(*group), "digest")
     )
-    return decided.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
-    )
+    return decided.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, digest (32 bytes of the normalised text)."""
+    return _groups(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text survives, all columns unchanged."""
-    losers = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(losers, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of docs for every text, all columns unchanged."""
+    key = row_key(id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "exact-rows")
+    rows = scratch.save(_groups(docs, id_col, text_col, key.alias("key")).select("digest", "key", "kept"), "rows")
+    winners = rows.filter("kept").groupBy("digest").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("won"))
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    verdicts = scratch.save(counted.join(winners, "key", "left").select("key", "n", F.coalesce("won", F.lit(False)).alias("kept")), "verdicts")
+    return keep_rows(docs, key, verdicts, once=True)

@@ -12,7 +12,7 @@ links into components. No step gathers a bucket, and keys that hold many rows ar
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any
 other; repeated rows share fingerprint and component; the component is named by its smallest doc_id (null only
-if all are null); an empty table gives an empty result; only id and text are read, so other columns can't clash.
+if all are null); near_dedup decides by row and leaves one of the rows that carry that id; an empty table gives an empty result; only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_unique
+from .common import Scratch, join_unique, keep_rows, row_key
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
 
@@ -63,7 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         got = [signed(fingerprint(t.as_py() or b"")) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got, pa.int64())], ["doc_id", *batch.schema.names[2:], "fp"])
 
 
 def candidates(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
@@ -115,14 +115,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         last = state
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id."""
+def _members(docs: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    """near_groups with the component's root, and the key of the row if one is given."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.save(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            _fingerprints, f"doc_id {kind}, fp long"
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([] if key is None else [key.alias("key")])).mapInArrow(
+            _fingerprints, f"doc_id {kind}, {'' if key is None else 'key string, '}fp long"
         ),
         "prints",
     )
@@ -134,12 +134,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
     n_prints = rooted.count()
-    by_print = scratch.save(join_unique(rooted, scratch.save(named, "named"), "root", n_prints, "prints").select("fp", "n", "component_id"), "by_print")
-    return join_unique(rows, by_print, "fp", rows.count(), "n").select("doc_id", "fp", "component_id")
+    by_print = scratch.save(join_unique(rooted, scratch.save(named, "named"), "root", n_prints, "prints").select("fp", "n", "root", "component_id"), "by_print")
+    return join_unique(rows, by_print, "fp", rows.count(), "n")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp (long), component_id."""
+    return _members(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their component (its smallest doc_id), all columns unchanged."""
-    gone = near_groups(docs, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of docs for every component, one that carries its smallest doc_id, all columns unchanged."""
+    key = row_key(id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "simhash-rows")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = scratch.save(_members(docs, id_col, text_col, key).select("root", "key", named.alias("named")), "rows")
+    winners = rows.filter("named").groupBy("root").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("won"))
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    verdicts = scratch.save(counted.join(winners, "key", "left").select("key", "n", F.coalesce("won", F.lit(False)).alias("kept")), "verdicts")
+    return keep_rows(docs, key, verdicts, once=True)

@@ -138,3 +138,24 @@ def test_misra_gries():
     held = exact_dedup.misra_gries((items[i : i + 50] for i in range(0, 1000, 50)), 20)
     true = Counter(items)
     assert len(held) <= 20 and all(held[d] <= true[d] for d in held) and true[b"hot"] - held[b"hot"] <= 1000 / 21
+
+
+def stage_rows(df):
+    return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["extra"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("share", [1024, 10**6])
+def test_a_repeated_row_stays_once_through_all_stages(spark, monkeypatch, share):
+    from gridlab.llm import common, kneser_ney
+
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rng = random.Random(9)
+    text, other = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(50)) for _ in range(2))
+    rows = [(1, text, "en", "x")] * 4 + [(2, other, "en", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    good = kneser_ney.quality_filter(docs, labels)
+    assert good.count() == 5
+    assert simhash.near_dedup(good).count() == 2
+    got = substring_dedup.substring_dedup(simhash.near_dedup(exact_dedup.exact_dedup(good)))
+    assert stage_rows(got) == sorted([(True, 1, text, "x"), (True, 2, other, "y")])
