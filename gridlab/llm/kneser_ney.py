@@ -14,7 +14,7 @@ MARGIN, by which texts that the model was not fitted on lie higher.
 
 Defined cases: a null or empty text has no score and is rejected; a document without a language, or with one that
 has no trusted text, takes the threshold over all languages; without trusted text everything else is kept;
-repeated rows score alike; labels repeated for an id count once (any trusted one); an empty table gives an empty
+repeated rows score alike; the filter decides by row, so rows that share an id, null included, do not share a fate; labels repeated for an id count once (any trusted one); an empty table gives an empty
 result. Only id, text, lang and the label are read, so other columns can't clash.
 """
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, keep_rows, row_key
 
 ORDER, START = 4, 2  # the unit that stands before a text's first
 UNITS = 1 << 16
@@ -272,5 +272,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the classifier keeps, all columns unchanged."""
-    gone = classify(docs, labels, id_col, text_col, lang_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    key = row_key(id_col, text_col, lang_col)
+    scratch = Scratch(docs.sparkSession, "quality-rows")
+    good = labels.filter(F.col("quality") == 1).select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct()
+    # the classifier works on keys for ids, so that a verdict holds for the rows of one key only
+    marks = scratch.save(docs.select(F.col(id_col).alias("doc_id"), key.alias("key")).join(good, "doc_id").select("key").distinct(), "marks")
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    got = classify(keyed, marks.withColumn("quality", F.lit(1)), "key")
+    verdicts = scratch.save(got.groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")), "verdicts")
+    return keep_rows(docs, key, verdicts, once=False)

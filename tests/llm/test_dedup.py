@@ -159,3 +159,25 @@ def test_a_repeated_row_stays_once_through_all_stages(spark, monkeypatch, share)
     assert simhash.near_dedup(good).count() == 2
     got = substring_dedup.substring_dedup(simhash.near_dedup(exact_dedup.exact_dedup(good)))
     assert stage_rows(got) == sorted([(True, 1, text, "x"), (True, 2, other, "y")])
+
+
+def test_rows_that_share_an_id_do_not_share_a_fate(spark):
+    """Of rows with a null id, and of rows with the id 7, one is rejected at each stage; the others stay."""
+    from gridlab.llm import kneser_ney
+
+    rng = random.Random(10)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(50)) for _ in range(5))
+    rows = [(None, a, "en", "x"), (None, b, "en", "x"), (None, "", "en", "x"), (7, c, "en", "x"), (7, None, "en", "x"), (7, d, "en", "x"), (9, e, "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra string").repartition(3)
+    labels = spark.createDataFrame([(9, 1), (7, 1)], "doc_id long, quality int")
+    good = [(i is not None, i or 0, t, x) for i, t, _, x in rows if t]
+    kept = kneser_ney.quality_filter(docs, labels)
+    assert [r for r in stage_rows(kept) if r[0]] == sorted(r for r in good if r[0])
+    assert not [r for r in stage_rows(kneser_ney.quality_filter(docs, labels.limit(0))) if not r[2]]
+    assert stage_rows(kneser_ney.quality_filter(docs, labels.limit(0))) == sorted(good)
+    copies = [(8, a.upper(), "en", "x"), (10, c.upper(), "en", "x")]  # a null id and a 7 lose to them
+    more = docs.filter("length(text) > 0").unionByName(spark.createDataFrame(copies, docs.schema))
+    left = [(True, 8, a.upper(), "x"), (True, 10, c.upper(), "x")]
+    assert stage_rows(exact_dedup.exact_dedup(more)) == sorted([r for r in good if r[2] not in (a, c)] + left)
+    near = sorted([r for r in good if r[2] != a] + left[:1])  # the smallest id stays: 8 before null, 7 before 10
+    assert stage_rows(simhash.near_dedup(more)) == near
