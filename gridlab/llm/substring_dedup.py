@@ -1,9 +1,10 @@
 """Substring dedup: remove every word covered by a window of words that occurs anywhere else.
 
-Level-wise doubling. The first level has windows of about a quarter of the target length, and of those only the
-anchors: in each target window, the position of the smallest first-level hash, which equal windows share. Only
-anchors that repeat somewhere survive, and their windows are extended to twice the length, hashing two
-overlapping halves into one, until the target length is reached or no candidate survives. Window hashes at the
+Doubling with one filtering level. The first level has windows of about a quarter of the target length, and of those
+only the anchors: in each target window, the position of the smallest first-level hash, which equal windows share.
+Only anchors that repeat somewhere survive, and all their windows get the hash of the target length at once, made by
+doubling. The level between is a step of that hash and drops no candidate: windows there would be shuffled once
+more, and disk is what this operator has least of. Results are exact either way. Window hashes at the
 target length have 128 bits. Equal documents are first reduced to one, whose words are all repeated; the others
 of a group need no windows.
 
