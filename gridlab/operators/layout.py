@@ -57,11 +57,15 @@ def to_slabs(df: DataFrame, split: str, rest: list[str], shape: dict[str, int],
     """Dense slabs: one row per index of `split` with an array over the other dims in C order, NULL where vacant.
 
     A slab has the product of the other axis lengths; it is built from the cells present and never by listing
-    the whole grid as rows.
+    the whole grid as rows. A cell outside the shape is an error.
     """
+    inside = F.lit(True)
+    for d in (split, *rest):
+        inside = inside & F.col(d).between(0, shape[d] - 1)
     flat, size = F.lit(0).cast("long"), 1
     for d in rest:
         flat, size = flat * shape[d] + F.col(d), size * shape[d]
+    flat = F.when(inside, flat).otherwise(F.raise_error(F.lit("a cell lies outside the shape")).cast("long"))
     cells = df.groupBy(split).agg(F.map_from_entries(F.collect_list(F.struct(flat.alias("k"), F.col(value).alias("v")))).alias("cells"))
     axis = df.sparkSession.range(shape[split]).select(F.col("id").alias(split))
     filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.try_element_at("cells", k.cast("long")))

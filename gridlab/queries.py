@@ -185,10 +185,10 @@ def project_constant_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CUBE}, s AS (SELECT user_id, unnest(range(30)) AS day FROM (SELECT DISTINCT user_id FROM cube)) SELECT s.user_id, array_to_string(list(coalesce(printf('%.2f', click), '-') ORDER BY s.day), ' ') AS slab FROM s LEFT JOIN cube ON s.user_id = cube.user_id AND s.day = cube.day GROUP BY 1")
 def slab_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense array of 30 days a user, as text so that it can be compared."""
+    """A dense array of all days, 30 at least, a user, as text so that it can be compared."""
     rows = cube(spark, sf_dir)
-    users = rows.agg(F.max("user_id")).first()[0] + 1
-    slabs = layout.to_slabs(rows, "user_id", ["day"], {"user_id": users, "day": 30}, "click")
+    users, days = (x + 1 for x in rows.agg(F.max("user_id"), F.max("day")).first())
+    slabs = layout.to_slabs(rows, "user_id", ["day"], {"user_id": users, "day": max(days, 30)}, "click")
     text = F.array_join(F.transform("slab", lambda x: F.when(x.isNull(), "-").otherwise(F.format_string("%.2f", x))), " ")
     return slabs.join(rows.select("user_id").distinct(), "user_id", "left_semi").select("user_id", text.alias("slab"))
 

@@ -94,3 +94,15 @@ def test_streams():
     assert numpy_stream(1, 2, 3).random() != numpy_stream(1, 2, 3, 0).random()
     with pytest.raises(ValueError):
         numpy_stream(1, 2, -1)
+
+
+def test_slabs_hold_every_day(spark, monkeypatch):
+    """Days beyond the given tables' 30 lengthen the axis; a cell outside the shape is an error."""
+    from gridlab import queries
+
+    rows = spark.createDataFrame([(0, 0, 1.0), (1, 33, 2.0)], "user_id long, day int, click double")
+    monkeypatch.setattr(queries, "cube", lambda *a: rows)
+    got = {r["user_id"]: r["slab"].split(" ") for r in queries.slab_arrays(spark, "").collect()}
+    assert len(got[0]) == 34 and got[0][0] == "1.00" and got[1][33] == "2.00"
+    with pytest.raises(Exception, match="outside the shape"):
+        layout.to_slabs(rows, "user_id", ["day"], {"user_id": 2, "day": 30}, "click").collect()
