@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,13 +13,21 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 #: A key is hot when it holds more than 1 / HOT_SHARE of all rows, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 1024
+#: Bytes of text a bucket of a bucketed table is to hold, and the most buckets that Spark allows by default.
+BUCKET_BYTES, MOST_BUCKETS = 64_000_000, 100_000
 
 _roots: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small; long documents would otherwise fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches small; long documents would otherwise fill a Python worker.
+
+    Plans read the setting when they run, so it can't be put back before; a smaller value that the session has stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not conf.get("spark.master", "local").startswith("local["):
+        if conf.get("spark.master", "local").split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints"
     app = spark.sparkContext.applicationId
@@ -73,6 +82,22 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def bucketed(self, df: DataFrame, by: str, text_bytes: int) -> DataFrame:
+        """df as a table bucketed by a column, so that joins and groups on it don't move its rows.
+
+        Buckets follow the size of the text. The catalogue entry goes at once: the plan holds files and buckets.
+        """
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / BUCKET_BYTES))
+        name = f"gridlab_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        try:
+            df.write.bucketBy(min(n, MOST_BUCKETS), by).option("path", path).option("compression", "uncompressed").saveAsTable(name)
+            out = self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.paths[id(out)] = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _remove(self.spark, self.paths.pop(id(t)))
@@ -95,6 +120,10 @@ def join_unique(left: DataFrame, right: DataFrame, on: str, n_left: int, weight:
     return left.join(hot, on).unionByName(rest.join(cold, on))
 
 
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+
+
 def row_key(*cols: str) -> Column:
     """128 bits, as hex, of the columns' values; null differs from every value. Rows with one key are repeated rows."""
     parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("null")) for c in (F.col(c).cast("string") for c in cols)]

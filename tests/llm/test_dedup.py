@@ -33,14 +33,54 @@ def test_substring(docs, rows, window):
     assert got_windows(substring_dedup.repeated_words(docs, window, digest=True)) == brute_windows(rows, window)
 
 
-def test_substring_with_hot_windows(spark, monkeypatch):
-    """Few different words, so that windows, anchors and whole documents repeat; every anchor counts as hot."""
-    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 10_000)
+@pytest.mark.parametrize("share", [1, 10**6])
+def test_substring_with_repeats_everywhere(spark, monkeypatch, share):
+    """Few different words, so that windows, candidates and whole documents repeat; no key is hot, or every repeated one."""
+    monkeypatch.setattr(substring_dedup.common, "HOT_SHARE", share)
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(60)]
-    rows += [(100 + i, rows[0][1]) for i in range(5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got_windows(substring_dedup.repeated_words(df, 9, digest=True)) == brute_windows(rows, 9)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(1, 61)]
+    rows += [(100 + i, rows[0][1]) for i in range(5)] + [(None, "a " * 50), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for window in (9, 20):
+        got = [(r["doc_id"] or -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.repeated_words(df, window, digest=True).collect()]
+        assert sorted(got) == brute_windows([(-1 if i is None else i, t) for i, t in rows], window)
+
+
+def test_levels_drop_candidates_one_after_the_other(spark, monkeypatch):
+    """Pairs of texts share 12, 25 or 40 words; fewer survive each level, and only 40 words are removed."""
+    assert substring_dedup.levels(35) == [9, 18, 35]
+    rows = []
+    for n in (12, 25, 40):
+        for k in range(30):
+            shared, pair = [f"s{n}x{k}x{i}" for i in range(n)], []
+            for side in "pq":
+                pair.append(" ".join([f"{side}a{n}x{k}x{i}" for i in range(30)] + shared + [f"{side}z{n}x{k}x{i}" for i in range(30)]))
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    seen = []
+    keep = substring_dedup.surviving
+
+    def spy(found, scratch):
+        out = keep(found, scratch)
+        seen.append({r["at"] // 60 for r in out.collect()} if out is not None else None)
+        seen.append(out.select("at").distinct().count() if out is not None else 0)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "surviving", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_words(df).collect()}
+    assert got == {i: 40 if i >= 120 else 0 for i in range(180)}
+    assert seen[0] == {0, 1, 2} and seen[2] == {1, 2} and seen[1] > seen[3] > 60
+    seen.clear()
+    assert all(r["n_removed"] == 0 for r in substring_dedup.repeated_words(df.filter("doc_id < 60")).collect()) and seen[2] is None
+
+
+def test_substring_carries_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, [1, 2], "x", "lone " * 3, 7), (2, None, "y", "head " + text, 8), (3, [], None, text + " tail", 9)]
+    df = spark.createDataFrame(rows, "`doc id` long, `a.b` array<int>, `my col` string, `te xt` string, block int")
+    got = substring_dedup.substring_dedup(df, id_col="doc id", text_col="te xt")
+    assert got.dtypes == df.dtypes
+    assert sorted(tuple(r) for r in got.collect()) == [(1, [1, 2], "x", "lone " * 3, 7), (2, None, "y", "head", 8), (3, [], None, "tail", 9)]
 
 
 def test_substring_stage(docs, no_docs, rows):
