@@ -5,11 +5,12 @@ sees only the histogram of piece lengths: lengths go longest first, each into th
 among those with room, counted by pattern and never one by one. There are at most `size` lengths, and a length
 opens at most one new pattern and splits at most one, so patterns stay bounded by the sequence size whatever the
 corpus. Patterns then meet pieces by rank: the piece with rank r among those of its length takes the r-th slot
-of that length. Ranks come from counts per (length, salt), so a length held by a third of all pieces is spread
-over as many groups as the input asks for.
+of that length. Ranks come from counts per (length, salt) and prefix sums over them in levels, so a length held by a
+third of all pieces is spread over as many groups as the input asks for; a piece's own number salts it, so repeated
+rows are spread like others.
 
-Defined cases: a null or empty text is the single END_ID; repeated rows are packed once each; an empty table
-gives an empty result; only id and text are read, so other columns can't clash.
+Defined cases: a null or empty text is the single END_ID; repeated rows are packed once each; a text of any length is
+cut into as many full pieces as it takes; an empty table gives an empty result; only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .bpe import CACHE_WORDS, SETTLED, SPACE, Merges, _class, byte_alphabet, sli
 from .common import Scratch
 
 SIZE, END_ID = 2048, 1
-#: Pieces a salt group holds on average when all pieces have one length.
-SALT_ROWS = 256
+#: Pieces a salt group holds on average when all pieces have one length, and salts that one prefix sum runs over.
+SALT_ROWS, FAN = 256, 4096
 
 L, N = _class("L"), _class("N")
 #: The published word pattern of the vocabulary (text in lower case).
@@ -185,19 +186,36 @@ def slots(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tuple
     return out
 
 
-def ranked(rows: DataFrame, by: str, order: list[str], n: int, scratch: Scratch) -> DataFrame:
-    """rows with `rank`, 0 first within each value of `by`, by salted counts; no group of rows exceeds a salt's."""
+def ranked(rows: DataFrame, by: str, unique: str, n: int, scratch: Scratch) -> DataFrame:
+    """rows with `rank`, 0 first within each value of `by`, in an order that follows from the unique column.
+
+    Rows are dealt to salts by a hash of it. Where a salt begins comes from prefix sums over counts in levels, each
+    group of FAN salts being one row of the next level, so no window holds more than FAN counts or a salt's rows.
+    """
     salts = max(n // SALT_ROWS, 1)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    ahead = Window.partitionBy(by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = salted.groupBy(by, "salt").agg(F.count(F.lit(1)).alias("n"))
-    base = scratch.save(counts.select(by, "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "base")
-    inside = Window.partitionBy(by, "salt").orderBy(*order)
+    salted = rows.withColumn("s0", F.pmod(F.xxhash64(unique), F.lit(salts)))
+    counts, level = [salted.groupBy(by, "s0").agg(F.count(F.lit(1)).alias("n"))], 0
+    while salts > FAN:
+        up = F.floor(F.col(f"s{level}") / FAN).cast("long").alias(f"s{level + 1}")
+        held = scratch.save(counts[-1].select(by, f"s{level}", up, "n"), f"counts{level}")
+        counts[-1] = held
+        counts.append(held.groupBy(by, f"s{level + 1}").agg(F.sum("n").alias("n")))
+        salts, level = -(-salts // FAN), level + 1
+    base = None
+    for k in range(level, -1, -1):
+        group = [by] if k == level else [by, f"s{k + 1}"]
+        ahead = Window.partitionBy(*group).orderBy(f"s{k}").rowsBetween(Window.unboundedPreceding, -1)
+        own = counts[k].withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        if base is not None:
+            own = own.join(base, group).withColumn("ahead", F.col("ahead") + F.col("base"))
+        base = own.select(by, f"s{k}", F.col("ahead").alias("base"))
+    base = scratch.save(base, "base")
+    inside = Window.partitionBy(by, "s0").orderBy(unique)
     return (
         salted.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(base, [by, "salt"])
+        .join(base, [by, "s0"])
         .withColumn("rank", F.col("base") + F.col("inside"))
-        .drop("salt", "base", "inside")
+        .drop("s0", "base", "inside")
     )
 
 
@@ -205,7 +223,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_
     """The pieces with sequence_id, offset and sequence_tokens, the ids that their sequence holds."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = scratch.save(pieces(docs, vocabulary, size, id_col, text_col, ids), "pieces")
+    cut = scratch.save(pieces(docs, vocabulary, size, id_col, text_col, ids).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     patterns = pack_histogram(histogram, size)
     runs = spark.createDataFrame(
@@ -217,8 +235,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_
         base += n
     totals = dict((b, t) for b, _, t in filled)
     sizes = spark.createDataFrame(list(totals.items()), "base long, sequence_tokens long")
-    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    placed = ranked(cut, "length", order, sum(histogram.values()), scratch).alias("p")
+    placed = ranked(cut, "length", "piece", sum(histogram.values()), scratch).alias("p")
     runs = runs.join(F.broadcast(sizes), "base").alias("r")
     k = F.col("rank") - F.col("first")
     return placed.join(
