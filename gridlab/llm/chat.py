@@ -11,8 +11,8 @@ reading, so the format is reversible whatever a text holds; in roles, a newline
 `loss_spans` gives, in code points of the formatted string, where the assistant texts stand.
 
 Defined cases: a null text or role counts as empty; rows of a conversation with the same turn are ordered by
-role, then text, repeated rows each counting as a turn; a null conv_id is one conversation; an empty table gives
-an empty result. Only the named columns are read, so other columns can't clash.
+role, then text, repeated rows each counting as a turn; a null conv_id is one conversation; texts of any length are
+formatted whole; nodes on several rows and cycles of parents are errors; an empty table gives an empty result. Only the named columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -45,21 +45,26 @@ def paths(messages: DataFrame) -> DataFrame:
     """messages(node, parent, score) -> (root, leaf, node, step, branch): every root-to-leaf path.
 
     step counts from the root, 0 first; branch ranks the leaves of a root by the sum of scores along the path,
-    highest first, ties by the smaller leaf. A node whose parent is null or missing is a root.
+    highest first, ties by the smaller leaf. A node whose parent is null or missing is a root. Rows that repeat a node
+    are an error, as a reply has one parent; so is a cycle of parents, a node that is its own parent included.
     """
     scratch = Scratch(messages.sparkSession, "chat")
-    nodes = scratch.save(messages.select("node", "parent", "score"), "nodes")
+    once = F.when(F.count(F.lit(1)) == 1, F.first(F.struct("parent", "score"))).otherwise(F.raise_error(F.lit("a node occurs on several rows")))
+    nodes = scratch.save(messages.groupBy("node").agg(once.alias("own")).select("node", "own.*"), "nodes")
     known = nodes.select(F.col("node").alias("parent")).distinct()
     up = nodes.select("node", "parent").join(known, "parent").select("node", F.col("parent").alias("up"))
     parents = up.select(F.col("up").alias("node")).distinct()
     # (leaf, node, d): node is d steps above leaf, for all d below the span reached so far
     reached = nodes.join(parents, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).alias("d"))
-    jump, span = scratch.save(up, "up"), 1
-    while not jump.isEmpty():
-        further = reached.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("d") + span).alias("d"))
+    jumps, total = [scratch.save(up, "up")], nodes.count()
+    while not jumps[-1].isEmpty():
+        if 1 << len(jumps) > 2 * total:  # no path is longer than there are nodes
+            raise ValueError("the parents of some node form a cycle")
+        twice = jumps[-1].alias("a").join(jumps[-1].alias("b"), F.col("a.up") == F.col("b.node"))
+        jumps.append(scratch.save(twice.select(F.col("a.node").alias("node"), F.col("b.up").alias("up")), "jump"))
+    for k, jump in enumerate(jumps[:-1]):
+        further = reached.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("d") + (1 << k)).alias("d"))
         reached = scratch.save(reached.unionByName(further), "reached")
-        twice = jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.node"))
-        jump, span = scratch.save(twice.select(F.col("a.node").alias("node"), F.col("b.up").alias("up")), "jump"), span * 2
     full = reached.join(nodes.select("node", "score"), "node")
     tops = full.groupBy("leaf").agg(F.max("d").alias("top"), F.sum("score").alias("total"), F.max(F.struct("d", "node"))["node"].alias("root"))
     ranked = tops.withColumn("branch", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("total"), "leaf")))
