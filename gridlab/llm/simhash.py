@@ -1,23 +1,28 @@
 """SimHash near-dedup with covering locality-sensitive hashing.
 
-Each of the 64 fingerprint bits gets a vector of RADIUS + 1 bits; every non-zero vector v names one table, whose
-mask keeps the bits with odd inner product. RADIUS differing bits span at most RADIUS dimensions, so some v is
+Each of the 64 fingerprint bits gets a vector of radius + 1 bits; every non-zero vector v names one table, whose
+mask keeps the bits with odd inner product. `radius` differing bits span at most so many dimensions, so some v is
 orthogonal to all of them: every pair within the radius agrees on that mask and collides in its table. Only
 distinct fingerprints enter the tables, and only those that share a bucket with another go on.
 
-Candidates are then settled exactly without forming pairs: two fingerprints are within 2 bits of each other just
-when some point is within 1 bit of both. Each candidate names its 65 such points, at most 65 fingerprints name
-one point, and all that name it are linked to its smallest. Alternating large-star and small-star steps turn the
-links into components. No step gathers a bucket, and keys that hold many rows are broadcast or combined first.
+Candidates are then settled exactly without forming pairs: two fingerprints are within r bits of each other just
+when some point is within r // 2 bits of one and (r + 1) // 2 of the other. Each candidate names its points, 65 for
+radius 2 and 2081 for radius 4; as many fingerprints at most name one point, and all that name it are linked to the
+smallest of those that are nearer. Random fingerprints rarely share a bucket of some 35 bits, so few are candidates.
+Alternating large-star and small-star steps turn the links into components. No step gathers a bucket, and keys that
+hold many rows are broadcast or combined first.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any
-other; repeated rows share fingerprint and component; the component is named by its smallest doc_id (null only
-if all are null); near_dedup decides by row and leaves one of the rows that carry that id; an empty table gives an empty result; only id and text are read, so other columns can't clash.
+other; a text of any length is hashed whole; repeated rows share fingerprint and component; the component is named by
+its smallest doc_id (null only if all are null); near_dedup decides by row and leaves one of the rows that carry that
+id, the one with the least key; an empty table gives an empty result; only id and text are read, so other columns can't
+clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,7 @@ def signed(x: int) -> int:
 
 
 def fingerprint(text: bytes) -> int:
-    """SimHash of the 3-word shingles of a text in UTF-8; a bit is set if it is set in over half the hashes."""
+    """SimHash of the SHINGLE-word shingles of a text in UTF-8; a bit is set if it is set in over half the hashes."""
     words = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII white space characters
     if not words:
         return 0
@@ -75,18 +80,21 @@ def candidates(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Dat
     return join_unique(rows, shared, "bucket", rows.count(), "n").select("fp").distinct()
 
 
-def links(found: DataFrame) -> DataFrame:
-    """(u, v), v < u: each fingerprint with the smallest that shares a point with it."""
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(BITS)])
-    points = found.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
-    # a point is named by at most 65 fingerprints, so these lists are bounded
-    stars = points.groupBy("point").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
-    return (
-        stars.select(F.array_min("all").alias("v"), F.explode("all").alias("u"))
-        .filter(F.col("u") > F.col("v"))
-        .select("u", "v")
-        .distinct()
-    )
+def _flips(bits: int) -> list[int]:
+    """All words of at most so many set bits."""
+    return [signed(sum(1 << i for i in at)) for n in range(bits + 1) for at in combinations(range(BITS), n)]
+
+
+def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v), v < u: links within the radius that connect what pairs within it connect."""
+    near, far = radius // 2, (radius + 1) // 2
+    flips = F.explode(F.array(*[F.lit(x) for x in _flips(far)])).alias("bits")
+    points = found.select("fp", flips).select("fp", F.col("fp").bitwiseXOR(F.col("bits")).alias("point"), (F.bit_count("bits") <= near).alias("near"))
+    # as many fingerprints at most name a point as there are words of so few bits: these lists are bounded
+    stars = points.groupBy("point").agg(F.collect_list("fp").alias("all"), F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"))
+    stars = stars.filter((F.size("all") > 1) & F.col("hub").isNotNull())
+    both = stars.select(F.col("hub").alias("v"), F.explode("all").alias("u")).filter("u != v")
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -96,13 +104,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         # large star: hang every larger neighbour of a node on the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = scratch.save(
-            both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
-        )
+        higher = F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")
+        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), higher).filter("n > 0"), "low")
+        # a root has all its component's nodes as neighbours, so this join must stand hot keys
+        hung = join_unique(both.filter("v > u"), low, "u", edges.count(), "n")
+        large = scratch.save(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: hang every smaller neighbour, and the node, on the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        moved = join_unique(large, low, "u", large.count(), "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = scratch.save(moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct(), "small")
         state = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(edges, large)
@@ -115,7 +124,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         last = state
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+def _members(docs: DataFrame, id_col: str, text_col: str, radius: int, key: Column | None = None) -> DataFrame:
     """near_groups with the component's root, and the key of the row if one is given."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
@@ -127,8 +136,8 @@ def _members(docs: DataFrame, id_col: str, text_col: str, key: Column | None = N
         "prints",
     )
     prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    found = scratch.save(candidates(prints.select("fp"), scratch), "candidates")
-    member = scratch.save(components(links(found), scratch), "members")
+    found = scratch.save(candidates(prints.select("fp"), scratch, radius), "candidates")
+    member = scratch.save(components(links(found, radius), scratch), "members")
     rooted = scratch.save(
         prints.join(member, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "rooted"
     )
@@ -138,17 +147,17 @@ def _members(docs: DataFrame, id_col: str, text_col: str, key: Column | None = N
     return join_unique(rows, by_print, "fp", rows.count(), "n")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id."""
-    return _members(docs, id_col, text_col).select("doc_id", "fp", "component_id")
+    return _members(docs, id_col, text_col, radius).select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of docs for every component, one that carries its smallest doc_id, all columns unchanged."""
     key = row_key(id_col, text_col)
     scratch = Scratch(docs.sparkSession, "simhash-rows")
     named = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    rows = scratch.save(_members(docs, id_col, text_col, key).select("root", "key", named.alias("named")), "rows")
+    rows = scratch.save(_members(docs, id_col, text_col, radius, key).select("root", "key", named.alias("named")), "rows")
     winners = rows.filter("named").groupBy("root").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("won"))
     counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     verdicts = scratch.save(counted.join(winners, "key", "left").select("key", "n", F.coalesce("won", F.lit(False)).alias("kept")), "verdicts")

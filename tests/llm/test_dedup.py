@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -107,7 +108,7 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, radius=2):
     root = list(range(len(prints)))
 
     def find(x):
@@ -117,7 +118,7 @@ def brute_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
@@ -132,29 +133,32 @@ def test_simhash(docs, no_docs, rows):
     assert simhash.near_dedup(docs).columns == docs.columns
 
 
-def test_masks_cover_every_pair():
-    masks = simhash.masks()
-    for i in range(64):
-        for j in range(i):
-            assert any(not (m >> i & 1 or m >> j & 1) for m in masks)
+@pytest.mark.parametrize("radius", [2, 3])
+def test_masks_cover_every_pair(radius):
+    masks = simhash.masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    for bits in itertools.combinations(range(64), radius):
+        assert any(not any(m >> i & 1 for i in bits) for m in masks)
 
 
-def test_components_of_chains(spark):
-    """Chains and a hub of fingerprints that differ by up to two bits."""
-    from gridlab.llm.common import Scratch
+@pytest.mark.parametrize("radius, share", [(2, 1024), (2, 1), (3, 10**6), (4, 10**6)])
+def test_components_of_chains(spark, monkeypatch, radius, share):
+    """Chains and a hub of fingerprints that differ by up to radius bits, with hot keys and without."""
+    from gridlab.llm import common
 
+    monkeypatch.setattr(common, "HOT_SHARE", share)
     rng = random.Random(1)
     prints = {rng.getrandbits(64) for _ in range(30)}
-    for p in list(prints)[:6]:
+    for k, p in enumerate(list(prints)[:6]):
         for _ in range(12):
-            p ^= (1 << rng.randrange(64)) | (1 << rng.randrange(64))
-            prints.add(p)
+            step = sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 1)))
+            prints.add(p ^ step)
+            p = p if k < 2 else p ^ step
     prints = sorted(simhash.signed(p) for p in prints)
-    scratch = Scratch(spark, "test")
-    df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    found = simhash.candidates(df, scratch)
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(found), scratch).collect()}
-    want = brute_components([p % 2**64 for p in prints])
+    scratch = common.Scratch(spark, "test")
+    found = simhash.candidates(spark.createDataFrame([(p,) for p in prints], "fp long"), scratch, radius)
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(found, radius), scratch).collect()}
+    want = brute_components([p % 2**64 for p in prints], radius)
     assert [got.get(p, p) for p in prints] == [prints[c] for c in want]
 
 

@@ -260,3 +260,31 @@ def test_quality_threshold_follows_the_scatter_of_sizes(spark, monkeypatch):
     kept = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(None, None).collect()}
     assert [kept[i] for i in (1000, 1001, 1002, 1003)] == [True, False, False, True]
     assert sum(kept[i] for i in range(400)) >= 395
+
+
+def test_reply_trees_refuse_cycles_and_repeated_nodes(spark):
+    schema = "node long, parent long, score long, role string, text string"
+    for edges in ([(1, 1)], [(1, 2), (2, 1)], [(1, 3), (2, 1), (3, 2), (4, 3), (5, 4)]):
+        with pytest.raises(ValueError, match="cycle"):
+            chat.format_paths(spark.createDataFrame([(n, p, 0, "user", "x") for n, p in edges], schema))
+    with pytest.raises(Exception, match="several rows"):
+        chat.format_paths(spark.createDataFrame([(1, None, 0, "user", "x"), (1, None, 0, "user", "y")], schema)).collect()
+    deep = [(i, i - 1 if i else None, i, "user", f"t{i}") for i in range(21)] + [(100, 10, 99, "user", "side")]
+    got = {r["leaf"]: (r["branch"], re.findall(r"\|>\w+\n(.*?)<", r["formatted"])) for r in chat.format_paths(spark.createDataFrame(deep, schema)).collect()}
+    assert got == {20: (1, [f"t{i}" for i in range(21)]), 100: (2, [f"t{i}" for i in range(11)] + ["side"])}
+
+
+@pytest.mark.parametrize("fan", [4096, 3])
+def test_ranks_by_levels_of_prefix_sums(spark, monkeypatch, fan):
+    """One length holds most pieces, repeated rows among them; ranks of each length run from 0 without a gap."""
+    from gridlab.llm.common import Scratch
+
+    monkeypatch.setattr(packing, "SALT_ROWS", 4)
+    monkeypatch.setattr(packing, "FAN", fan)
+    rows = [(i, 2048 if i % 5 else i % 3, "same") for i in range(500)]
+    df = spark.createDataFrame(rows, "piece long, length long, other string")
+    got = packing.ranked(df, "length", "piece", len(rows), Scratch(spark, "test")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["length"], []).append(r["rank"])
+    assert len(got) == 500 and all(sorted(x) == list(range(len(x))) for x in by.values())
