@@ -1,18 +1,20 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: single lexicon entries, groups of rarer entries, and patterns. A generative label
-model, fitted by expectation-maximisation, estimates how often each voter fires on toxic and on other texts, and
-from the correlations that remain within a class how much of its vote is its own. Its posterior labels train a
-linear classifier on the voters' findings, which gives the score.
+model, fitted by expectation-maximisation, estimates how often each voter fires on toxic and on other texts, and how
+that depends on the voter it is most tied to within a class: accuracies and correlations are its parameters. Its
+posterior labels train a linear classifier on the voters' findings, which gives the score.
 
 The lexicon is a seed of plain insults plus words and word beginnings that the training labels mark, chosen by
-their log-likelihood ratio. An entry needs COUNT toxic texts, whatever share of all they are, so the vocabulary of a
-language with few texts is found too; copies of a text count as one, lest their other words pass for toxic. Fitting reads at most FIT_TOXIC and FIT_OTHER labelled documents in expectation,
-which bounds the one task that fits; scoring covers every whole text.
+their log-likelihood ratio. An entry needs a few toxic texts, whatever share of all they are, so the vocabulary of a
+language with few texts is found too; copies of a text count as one, lest their other words pass for toxic. Fitting
+reads at most fit_toxic and fit_other labelled documents in expectation, which bounds the one task that fits; scoring
+covers every whole text.
 
 Defined cases: a null or empty text has no findings and takes the classifier's base score; null labels are left
-out; with no training rows the seed lexicon alone decides; repeated rows score alike; an empty table gives an
-empty result. Only id and text are read from docs, so other columns can't clash.
+out, and of several labels of an id the largest counts; with no training rows the seed lexicon alone decides; texts of
+any length are searched whole; repeated rows score alike; an empty table gives an empty result. Only id and text are
+read from docs, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,10 +35,24 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 
+#: Labelled documents that a fit reads at most, in expectation: toxic ones, others.
 FIT_TOXIC, FIT_OTHER = 1500, 4500
-#: Lexicon entries at most; of a mined one: least log-likelihood ratio, least number of toxic texts that hold it (copies
-#: of a text count once), and how many times its rate in other texts its rate in toxic ones must be.
-ENTRIES, LEAST, COUNT, LIFT = 400, 20.0, 5, 8
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """What a mined lexicon entry needs, and how many entries there are at most.
+
+    least: log-likelihood ratio; count: toxic texts that hold it (copies of a text count once); lift: how many times
+    its rate in other texts its rate in toxic ones must be.
+    """
+
+    entries: int = 400
+    least: float = 20.0
+    count: int = 5
+    lift: float = 8.0
+
+
 #: Bands, and smallest hashes of a text's word triples in each; texts that share a band are copies.
 BANDS, BAND = 6, 3
 #: Entries that vote alone, grouped voters.
@@ -103,17 +120,17 @@ def spread(texts: list[str], only: Counter | None = None) -> tuple[Counter, int]
     return Counter(f for g in groups.values() for f in g), len(groups)
 
 
-def mine(texts: list[str], toxic: list[bool]) -> list[str]:
+def mine(texts: list[str], toxic: list[bool], cuts: Cuts = Cuts()) -> list[str]:
     """Lexicon entries, strongest first; an entry that a stronger beginning covers is left out."""
     yes, n = spread([t for t, y in zip(texts, toxic) if y])
-    yes = Counter({f: a for f, a in yes.items() if a >= COUNT})
+    yes = Counter({f: a for f, a in yes.items() if a >= cuts.count})
     no, m = spread([t for t, y in zip(texts, toxic) if not y], yes)
-    scored = sorted((-ratio(a, no[f], n, m), f) for f, a in yes.items() if LIFT * no[f] * n <= a * max(m, 1))
+    scored = sorted((-ratio(a, no[f], n, m), f) for f, a in yes.items() if cuts.lift * no[f] * n <= a * max(m, 1))
     out: list[str] = []
     begun: set[str] = set()
     for g, f in scored:
         word = f[2:]
-        if -g < LEAST or len(out) >= ENTRIES:
+        if -g < cuts.least or len(out) >= cuts.entries:
             break
         if any(word[:k] in begun for k in range(3, len(word) + 1)) or (f[0] == "p" and any(w[2:].startswith(word) for w in out)):
             continue
@@ -181,31 +198,81 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, lexicon: int, base: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior probability of the toxic class per text, and each voter's weight, from votes alone.
+def forest(votes: np.ndarray, classes: tuple[np.ndarray, np.ndarray], first: int = 0) -> np.ndarray:
+    """Each voter's parent (-1: none) in the forest of the strongest dependences that remain within the classes.
 
-    The first `lexicon` voters start as evidence for it; base is the class balance, which votes alone don't settle. weight = 1 / (1 + the correlations above 0.3 that a voter
-    keeps with others within a class), so that voters that repeat each other don't count twice.
+    A dependence is the mutual information of two voters given the class; it counts if it pays for its two further
+    parameters (Bayesian information criterion). Edges are taken by strength as long as they close no circle. Voters
+    before `first` take no part.
+    """
+    n, m = votes.shape
+    gain = np.zeros((m, m))
+    for p in classes:
+        size = max(p.sum(), 1e-9)
+        on = p @ votes / size
+        both = (votes * p[:, None]).T @ votes / size
+        for cell, row, col in (
+            (both, on, on),
+            (on[:, None] - both, on, 1 - on),
+            (on[None, :] - both, 1 - on, on),
+            (1 - on[:, None] - on[None, :] + both, 1 - on, 1 - on),
+        ):
+            chance = np.maximum(np.outer(row, col), 1e-12)
+            gain += size * np.where(cell > 1e-9, cell * np.log(np.maximum(cell, 1e-12) / chance), 0)
+    tied = [(g, i, j) for i in range(first, m) for j in range(first, i) if (g := gain[i, j]) > math.log(max(n, 2))]
+    group, near = list(range(m)), [[] for _ in range(m)]
+    for _, i, j in sorted(tied, reverse=True):
+        if group[i] != group[j]:
+            near[i].append(j)
+            near[j].append(i)
+            group = [group[i] if g == group[j] else g for g in group]
+    parent = np.full(m, -1)
+    done: set[int] = set()
+    for root in range(m):
+        todo = [] if root in done else [root]
+        done.update(todo)
+        while todo:
+            i = todo.pop()
+            for j in near[i]:
+                if j not in done:
+                    parent[j] = i
+                    done.add(j)
+                    todo.append(j)
+    return parent
+
+
+def label_model(votes: np.ndarray, lexicon: int, base: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior probability of the toxic class by text, fire, parent), from votes alone, by expectation-maximisation.
+
+    A voter's rate depends on the class and on the vote of its parent in a forest, so both its accuracy and its
+    correlation are parameters: fire[c, v, i] is the rate of voter i in class c (0: toxic) where its parent votes v;
+    without a parent both v are alike. The forest is found before the first round for the
+    other voters than the first `lexicon`, lest those that repeat each other pull the classes their way, and anew for
+    all at a third and two thirds of the rounds. The first `lexicon` voters start as evidence for the class, so that
+    nothing can be said of their own ties then; base is the class balance, which votes alone don't settle.
     """
-    post = np.where(votes[:, :lexicon].any(1), 0.95, 0.05)
-    weight = np.ones(votes.shape[1])
+    m = votes.shape[1]
+    post, parent = np.where(votes[:, :lexicon].any(1), 0.95, 0.05), np.full(m, -1)
     for k in range(rounds):
-        fire = [np.clip((p @ votes + 0.5) / (p.sum() + 1.0), 1e-4, 1 - 1e-4) for p in (post, 1 - post)]
-        if k == rounds // 2:
-            tied = np.zeros((votes.shape[1],) * 2)
-            for p, f in zip((post, 1 - post), fire):
-                gap = votes - f
-                cov = (gap * p[:, None]).T @ gap / max(p.sum(), 1e-9)
-                sd = np.sqrt(np.maximum(np.diag(cov), 0))
-                sure = np.outer(sd > 0.05, sd > 0.05)  # voters that hardly fire in a class say nothing about ties
-                tied = np.maximum(tied, np.where(sure, np.abs(cov) / np.maximum(np.outer(sd, sd), 1e-9), 0))
-            np.fill_diagonal(tied, 0)
-            weight = 1 / (1 + np.where(tied > 0.3, tied, 0).sum(1))
-        odds = math.log(base / (1 - base)) + (
-            votes @ (weight * np.log(fire[0] / fire[1])) + (1 - votes) @ (weight * np.log((1 - fire[0]) / (1 - fire[1])))
-        )
+        classes = (post, 1 - post)
+        if not k:
+            sure = (post > 0.5).astype(float)  # the start is no posterior: its unsure share would tie what only the class ties
+            parent = forest(votes, (sure, 1 - sure), lexicon)
+        elif k in (rounds // 3, 2 * rounds // 3):
+            parent = forest(votes, classes)
+        above = np.where(parent >= 0, votes[:, parent], 0)
+        fire = np.zeros((2, 2, m))
+        for c, p in enumerate(classes):
+            alone = (p @ votes + 0.5) / (p.sum() + 1.0)
+            for v, part in enumerate((1 - above, above)):
+                size, hits = p @ part, p @ (part * votes)
+                fire[c, v] = np.where(parent >= 0, (hits + alone) / (size + 1.0), alone)  # one vote's worth of the plain rate
+        fire = np.clip(fire, 1e-4, 1 - 1e-4)
+        held = [np.where(above > 0, fire[c, 1], fire[c, 0]) for c in (0, 1)]
+        says = np.where(votes > 0, np.log(held[0] / held[1]), np.log((1 - held[0]) / (1 - held[1])))
+        odds = math.log(base / (1 - base)) + says.sum(1)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, weight
+    return post, fire, parent
 
 
 def linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 30) -> np.ndarray:
@@ -224,41 +291,50 @@ def linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 30)
     return b
 
 
-def fit(texts: list[str], toxic: list[bool]) -> dict:
-    """The model as plain lists: entries, coefficients, and the label model's voter weights."""
-    mined = mine(texts, toxic) if any(toxic) else []
+def fit(texts: list[str], toxic: list[bool], cuts: Cuts = Cuts()) -> dict:
+    """The model as plain lists: entries, coefficients, and the label model's rates and parents of the voters."""
+    mined = mine(texts, toxic, cuts) if any(toxic) else []
     entries = mined + [f"w:{w}" for w in SEED if f"w:{w}" not in mined]
     voters = Voters(entries)
     seen = np.array([voters.look(t) for t in texts]) if texts else np.zeros((0, voters.size + 4))
     if not len(seen) or not seen[:, voters.size].any():
         coef = np.zeros(voters.size + 5)
         coef[voters.size], coef[-1] = 4.0, -3.0
-        return {"entries": entries, "coef": coef.tolist(), "weight": [1.0] * voters.size}
+        return {"entries": entries, "coef": coef.tolist(), "fire": [], "parent": []}
     base = min(max(sum(toxic) / len(toxic), 0.01), 0.99)
-    post, weight = label_model(seen[:, : voters.size], voters.alone + GROUPS, base)
-    return {"entries": entries, "coef": linear(seen, post).tolist(), "weight": weight.tolist()}
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """Fit on docs that labels (already restricted to training rows) mark 0 or 1."""
+    post, fire, parent = label_model(seen[:, : voters.size], voters.alone + GROUPS, base)
+    return {"entries": entries, "coef": linear(seen, post).tolist(), "fire": fire.tolist(), "parent": parent.tolist()}
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    fit_toxic: int = FIT_TOXIC,
+    fit_other: int = FIT_OTHER,
+    cuts: Cuts = Cuts(),
+) -> dict:
+    """Fit on docs that labels (already restricted to training rows) mark 0 or 1, at most so many of either in expectation."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("i").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
     uniform = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    most = F.when(F.col("y") == 1, FIT_TOXIC / max(sizes.get(1, 0), 1)).otherwise(FIT_OTHER / max(sizes.get(0, 0), 1))
-    chosen = known.filter(uniform < most)  # at most FIT_TOXIC + FIT_OTHER ids in expectation
+    most = F.when(F.col("y") == 1, fit_toxic / max(sizes.get(1, 0), 1)).otherwise(fit_other / max(sizes.get(0, 0), 1))
+    chosen = known.filter(uniform < most)  # at most fit_toxic + fit_other ids in expectation
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i").select("text", "y")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["text", "y"])
-        return pd.DataFrame({"model": [json.dumps(fit([t or "" for t in pdf["text"]], [y == 1 for y in pdf["y"]]))]})
+        return pd.DataFrame({"model": [json.dumps(fit([t or "" for t in pdf["text"]], [y == 1 for y in pdf["y"]], cuts))]})
 
     got = sample.groupBy().applyInPandas(learn, "model string").first()
-    return json.loads(got["model"]) if got else fit([], [])
+    return json.loads(got["model"]) if got else fit([], [], cuts)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for every row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES entries
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most cuts.entries entries and the seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters, coef = Voters(held.value["entries"]), np.array(held.value["coef"])

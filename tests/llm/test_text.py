@@ -288,3 +288,78 @@ def test_ranks_by_levels_of_prefix_sums(spark, monkeypatch, fan):
     for r in got:
         by.setdefault(r["length"], []).append(r["rank"])
     assert len(got) == 500 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    """Seven voters of known rates; voters 4, 5 and 6 mostly repeat voter 3, a weak one."""
+    rng = np.random.default_rng(8)
+    n, true = 20_000, np.array([[0.8, 0.7, 0.75, 0.6], [0.05, 0.1, 0.08, 0.4]])
+    y = rng.random(n) < 0.2
+    votes = (rng.random((n, 4)) < np.where(y[:, None], true[0], true[1])).astype(float)
+    tied = [np.where(rng.random(n) < 0.9, votes[:, 3], rng.random(n) < 0.5) for _ in range(3)]
+    votes = np.column_stack([votes, *tied])
+    post, fire, parent = toxicity.label_model(votes, 3, 0.2)
+    assert all(parent[i] < 0 for i in (0, 1, 2)) and (parent[3:] >= 0).sum() == 3  # a tree over 3 to 6, nothing else
+    for c in (0, 1):
+        assert np.abs(fire[c, 0, :3] - true[c, :3]).max() < 0.03
+    child = next(i for i in range(3, 7) if parent[i] >= 0)
+    assert abs(fire[0, 1, child] - fire[0, 0, child]) > 0.7  # the vote of the parent decides, whatever the class
+    # the exact posterior: what repeats voter 3 adds nothing
+    says = np.where(votes[:, :4] > 0, np.log(true[0] / true[1]), np.log((1 - true[0]) / (1 - true[1]))).sum(1)
+    best = 1 / (1 + np.exp(-(says + math.log(0.2 / 0.8))))
+    assert np.abs(post - best).mean() < 0.01
+    plain = np.concatenate([true, np.tile(true[:, 3:], 3)], axis=1)
+    naive = np.where(votes > 0, np.log(plain[0] / plain[1]), np.log((1 - plain[0]) / (1 - plain[1]))).sum(1)
+    assert np.abs(1 / (1 + np.exp(-(naive + math.log(0.2 / 0.8)))) - best).mean() > 3 * np.abs(post - best).mean()
+
+
+def test_long_words_are_summed_whole():
+    """Words of 11 to 60 letters and one of 3000, against exact sums, whatever the blocks."""
+    from fractions import Fraction
+
+    rng = random.Random(3)
+    pieces = sorted({"".join(rng.choices("abé", k=rng.randint(1, 12))).encode() for _ in range(300)} | {b" ", b"a", b"b", b" a", b"\xc3", b"\xa9"})
+    prob = np.random.default_rng(1).dirichlet(np.full(len(pieces), 0.3), 2).T
+    prob = (prob + 1e-7) / (prob + 1e-7).sum(0)
+    words = ["".join(rng.choices("abé", k=k)) for k in [*range(11, 61), 3000, 1, 2]]
+    got = langid.log_likelihood(langid.Lattice(pieces), words, prob)
+    for w, row in zip(words, got):
+        raw = b" " + w.encode()
+        for la in (0, 1):
+            table = {p: Fraction(float(x)) if len(raw) < 200 else float(x) for p, x in zip(pieces, prob[:, la])}
+            total, log = [1], 0.0  # of the bytes so far; long words in floats with a running scale
+            for j in range(1, len(raw) + 1):
+                total.append(sum((total[i] * table[raw[i:j]] for i in range(max(0, j - 24), j) if raw[i:j] in table), 0))
+                if len(raw) >= 200 and j % 20 == 0:
+                    top = max(total[-25:])
+                    total[-25:], log = [x / top for x in total[-25:]], log + math.log(top)
+            want = math.log(float(total[-1] * 10**200)) - 200 * math.log(10) if len(raw) < 200 else math.log(total[-1]) + log
+            assert row[la] == pytest.approx(want, rel=1e-9)
+
+
+def test_expected_counts_by_enumeration():
+    pieces = [b" ", b"a", b"b", b"ab", b" a", b"ba", b"aba"]
+    prob = np.array([[0.2, 0.1], [0.2, 0.2], [0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.1, 0.2], [0.1, 0.1]])
+    words, weight = ["ab", "aba", "b" + "ab" * 20], np.array([[2.0, 0.0], [1.0, 3.0], [0.0, 1.0]])
+
+    def ways(b):
+        return [[]] if not b else [[i, *rest] for i, p in enumerate(pieces) if b.startswith(p) for rest in ways(b[len(p) :])]
+
+    got = langid.expected_counts(langid.Lattice(pieces), words, weight, prob)
+    want = np.zeros(prob.shape)
+    for w, n in zip(words[:2], weight[:2]):
+        for la in (0, 1):
+            found = [(np.prod(prob[x, la]), x) for x in ways(b" " + w.encode())]
+            for p, x in found:
+                np.add.at(want[:, la], x, n[la] * p / sum(q for q, _ in found))
+    long = langid.expected_counts(langid.Lattice(pieces), words[2:], weight[2:], prob)
+    assert got - long == pytest.approx(want) and (long * np.array([len(p) for p in pieces])[:, None]).sum(0) == pytest.approx([0, 42])
+
+
+def test_letters_are_of_category_l(spark):
+    path = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    rows = [(i, t, la) for i, (t, la) in enumerate([("½ ² ⅷ ① 12_", None), ("schrumpfungen", "de"), ("the cat", "en")] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, path, langid.train(df, path)).collect()}
+    assert got[0] == ("und", 0.0) and got[1][0] == "de" and got[2][0] == "en"
+    assert langid.words_of("x½y ÉTÉ a_b 中文1") == ["x", "y", "été", "a", "b", "中文"]
