@@ -3,24 +3,31 @@
 The model is of order 4 over UTF-16 code units, so an n-gram is one 64-bit integer and counts are exact. Texts are
 gathered once into blocks of bounded size, each with the compressed texts and its distinct n-grams, written as a
 table bucketed by block; later steps meet a block where it lies. Trusted blocks give n-gram counts, of which every
-lower order and the discounts follow. The distinct n-grams of all blocks are joined with the sharded counts, order
-by order, and their probabilities return to the blocks that asked. Nothing that grows with the corpus is
-broadcast or collected; what is gathered grows with it.
+lower order and the discounts follow. The distinct n-grams of all blocks and their distinct endings are joined with the
+sharded counts, order by order from the shortest, and the probabilities return to the blocks that asked. A join key is
+an n-gram's ending or context, which at most UNITS distinct n-grams share, so no key is hot; what one or two units
+decide is at most UNITS rows and is broadcast. Nothing that grows with the corpus is broadcast or collected; what is
+gathered grows with it.
 
 A document's score is its mean negative log probability a code unit. It is kept if that is at most the threshold of
-its language and size. The mean of n units scatters as 1 / sqrt(n), so the QUANTILE is taken of trusted documents'
-distances from their language's median times sqrt(n); the threshold is the median plus that quantile / sqrt(n) plus
-MARGIN, by which texts that the model was not fitted on lie higher.
+its language and size. Every held-th trusted document, by a hash of its id, is held out of the counts, and thresholds
+are of these alone, which the model has not seen. The mean of n units scatters as 1 / sqrt(n), so the QUANTILE is taken
+of the held-out documents' distances from their language's median, times sqrt(n); the threshold is the median plus that
+quantile / sqrt(n). A language with fewer than LEAST held-out documents takes the quantile of all languages' distances,
+each from its own language's median.
 
 Defined cases: a null or empty text has no score and is rejected; a document without a language, or with one that
-has no trusted text, takes the threshold over all languages; without trusted text everything else is kept;
-repeated rows score alike; the filter decides by row, so rows that share an id, null included, do not share a fate; labels repeated for an id count once (any trusted one); an empty table gives an empty
-result. Only id, text, lang and the label are read, so other columns can't clash.
+has no trusted text, takes the threshold over all languages; where the hash holds out nothing, the trusted text
+itself gives the thresholds, and where it holds out everything, all documents have the same score and are kept; without
+trusted text everything else is kept; a text of any length is counted and scored whole, and one beyond BLOCK is a block
+of its own;
+repeated rows score alike; the filter decides by row, so rows that share an id, null included, do not share a fate; labels
+repeated for an id count once (any trusted one); an empty table gives an empty result. Only id, text, lang and the label
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +38,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keep_rows, row_key
+from .common import Scratch, keep_rows, row_key, text_bytes
 
 ORDER, START = 4, 2  # the unit that stands before a text's first
 UNITS = 1 << 16
-#: MARGIN is twice the gap of the means of fitted and other ordinary texts of sf0.1.
-QUANTILE, MARGIN = 0.99, 0.02
+#: Quantile of held-out distances, every how many-th trusted document is held out, held-out documents a language needs.
+QUANTILE, HELD, LEAST = 0.995, 5, 50
 #: Code units of text in a block, and of the runs that are worked on at once.
 BLOCK, RUN = 16_000_000, 1_000_000
 ACCURACY = 10_000
+#: Rounding that a comparison forgives.
+TINY = 1e-9
 
 
 def units(text: str) -> np.ndarray:
@@ -105,7 +114,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sealed, keys = seal(texts), count(texts)[0].view(np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([f"{part}-{n}"]),
+                pa.array([(part << 32) + n], pa.int64()),
                 pa.array([ids], pa.list_(schema.field(0).type)),
                 pa.array([langs], pa.list_(pa.string())),
                 pa.array([sealed], pa.binary()),
@@ -129,15 +138,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(schema)
 
 
-def _table(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
-    """df written as a table bucketed by block, so that joins on block don't move it; and the table's name."""
-    spark = df.sparkSession
-    name, n = f"gridlab_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, "block").option("path", f"{scratch.root}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    scratch.paths[id(out := spark.table(name))] = f"{scratch.root}/{name}"
-    return out, name
-
-
 def low(key: Column, n: int) -> Column:
     """The last n units of a key."""
     return key.bitwiseAND(F.lit((1 << 16 * n) - 1))
@@ -170,34 +170,40 @@ def _orders(counts: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, DataFr
 
 def probabilities(wanted: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, logp) for distinct n-grams (key) under the model of counts (key, c)."""
-    p = wanted.select("key").withColumn("p", F.lit(1.0 / UNITS))
-    for order, (grams_, by, d, total) in reversed(list(zip(range(ORDER, 0, -1), _orders(counts, scratch)))):
-        if not total:
-            continue
-        own = p.withColumn("g", low(F.col("key"), order) if order < ORDER else F.col("key")).withColumn("h", context(F.col("g")))
-        if order == 1:  # at most UNITS n-grams with one common context
-            got = own.join(F.broadcast(grams_.select(F.col("key").alias("g"), "c")), "g", "left").join(F.broadcast(by), "h", "left")
-        else:
-            got = own.join(grams_.select(F.col("key").alias("g"), "c"), "g", "left").join(by, "h", "left")
-        c = F.coalesce("c", F.lit(0))
-        cut = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        spare = (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
-        p = got.select("key", F.coalesce((c - cut) / F.col("total") + spare * F.col("p"), F.col("p")).alias("p"))
+    wants = [wanted.select("key")]
+    for order in range(ORDER - 1, 0, -1):
+        wants.append(scratch.save(wants[-1].select(low(F.col("key"), order).alias("key")).distinct(), f"wanted{order}"))
+    p = None
+    for order, own, (grams_, by, d, total) in reversed(list(zip(range(ORDER, 0, -1), wants, _orders(counts, scratch)))):
+        # up to order 2 these tables have at most UNITS rows; beyond, a key is shared by at most UNITS rows
+        small = F.broadcast if order <= 2 else (lambda x: x.hint("merge"))
+        got = own.select("key", context(F.col("key")).alias("h"), low(F.col("key"), max(order - 1, 1)).alias("end"))
+        got = got.withColumn("p", F.lit(1.0 / UNITS)) if p is None else got.join(small(p.withColumnRenamed("key", "end")), "end")
+        if total:
+            many = F.broadcast if order == 1 else (lambda x: x.hint("merge"))
+            got = got.join(many(grams_), "key", "left").join(small(by), "h", "left")
+            c = F.coalesce("c", F.lit(0))
+            cut = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+            spare = (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
+            got = got.withColumn("p", F.coalesce((c - cut) / F.col("total") + spare * F.col("p"), F.col("p")))
+        p = scratch.save(got.select("key", "p"), f"p{order}")
     return p.select("key", F.log("p").alias("logp"))
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """doc_id, lang, n_units, nll (mean, null for an empty text), trusted."""
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", held: int = HELD) -> DataFrame:
+    """doc_id, lang, n_units, nll (mean, null for an empty text), trusted, held (out of the counts; held = 0 holds out none)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "kneser-ney")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    blocks, name = _table(
-        rows.mapInArrow(_blocks, f"block string, ids array<{kind}>, langs array<string>, sealed binary, keys array<long>"), scratch
+    blocks = scratch.bucketed(
+        rows.mapInArrow(_blocks, f"block long, ids array<{kind}>, langs array<string>, sealed binary, keys array<long>"), "block", text_bytes(docs, text_col)
     )
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct()
+    out_of_counts = F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0 if held else F.lit(False)
     trusted = scratch.save(
-        blocks.select("block", F.posexplode("ids").alias("at", "doc_id")).join(good, "doc_id").select("block", "at"), "trusted"
+        blocks.select("block", F.posexplode("ids").alias("at", "doc_id")).join(good.hint("merge"), "doc_id").select("block", "at", out_of_counts.alias("held")),
+        "trusted",
     )
 
     def tally(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -208,13 +214,14 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.DataFrame({"key": keys.view(np.int64), "c": counts})
 
     sealed = blocks.select("block", "sealed").groupBy("block")
-    counts = sealed.cogroup(trusted.groupBy("block")).applyInPandas(tally, "key long, c long")
+    counts = sealed.cogroup(trusted.filter("not held").groupBy("block")).applyInPandas(tally, "key long, c long")
     counts = scratch.save(counts.groupBy("key").agg(F.sum("c").alias("c")), "counts")
     asked = blocks.select(F.col("block").alias("asker"), F.explode("keys").alias("key"))
     model = Scratch(spark, "kneser-ney-model")
-    known = scratch.save(probabilities(asked.select("key").distinct(), counts, model), "known")
+    wanted = scratch.save(asked.select("key").distinct(), "wanted")
+    known = scratch.save(probabilities(wanted, counts, model), "known")
     model.clear()
-    answers = asked.join(known, "key")
+    answers = asked.join(known.hint("merge"), "key")
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("key")
@@ -229,45 +236,53 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             stop = np.cumsum(sizes)
             n[at : at + len(part)], total[at : at + len(part)] = sizes, got[stop] - got[stop - sizes]
         nll = np.where(n > 0, -total / np.maximum(n, 1), np.nan)
-        return pd.DataFrame({"doc_id": left["ids"].iloc[0], "lang": left["langs"].iloc[0], "n_units": n, "nll": nll, "at": np.arange(len(n)), "block": left["block"].iloc[0]})
+        return pd.DataFrame({"doc_id": left["ids"].iloc[0], "lang": left["langs"].iloc[0], "n_units": n, "nll": nll, "at": np.arange(len(n)), "from": left["block"].iloc[0]})
 
     scored = (
         blocks.select("block", "ids", "langs", "sealed")
         .groupBy("block")
         .cogroup(answers.groupBy("asker"))
-        .applyInPandas(judge, f"doc_id {kind}, lang string, n_units long, nll double, at int, block string")
+        .applyInPandas(judge, f"doc_id {kind}, lang string, n_units long, nll double, at int, from long")
     )
     scored = scored.withColumn("nll", F.nanvl("nll", F.lit(None).cast("double")))
-    marked = trusted.withColumn("trusted", F.lit(True))
+    marked = trusted.select(F.col("block").alias("from"), "at", "held").hint("merge")
     out = scratch.save(
-        scored.join(marked, ["block", "at"], "left").select("doc_id", "lang", "n_units", "nll", F.coalesce("trusted", F.lit(False)).alias("trusted")),
+        scored.join(marked, ["from", "at"], "left").select(
+            "doc_id", "lang", "n_units", "nll", F.col("held").isNotNull().alias("trusted"), F.coalesce("held", F.lit(False)).alias("held")
+        ),
         "scores",
     )
-    spark.sql(f"DROP TABLE {name}")
-    scratch.drop(blocks, trusted, counts, known)
+    scratch.drop(blocks, trusted, counts, wanted, known)
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """doc_id, lang, n_units, nll, perplexity, threshold (of nll), trusted, kept."""
-    scored = scores(docs, labels, id_col, text_col, lang_col, label_col)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", held: int = HELD) -> DataFrame:
+    """doc_id, lang, n_units, nll, perplexity, threshold (of nll), trusted, held, kept."""
+    scored = scores(docs, labels, id_col, text_col, lang_col, label_col, held)
     sure = scored.filter(F.col("trusted") & F.col("nll").isNotNull())
+    unseen = sure.filter("held")
+    sure = sure if unseen.isEmpty() else unseen
     root = F.sqrt(F.greatest("n_units", F.lit(1)))
 
     def quantile(value: Column, q: float) -> Column:
         return F.percentile_approx(value, F.lit(q), F.lit(ACCURACY))
 
-    far = (F.col("nll") - F.col("middle")) * root
-    middle = sure.agg(quantile(F.col("nll"), 0.5).alias("middle")).first()["middle"]
-    scatter = sure.withColumn("middle", F.lit(middle).cast("double")).agg(quantile(far, QUANTILE).alias("scatter")).first()["scatter"]
+    def far(middle: Column) -> Column:
+        return (F.col("nll") - middle) * root
+
+    middle = F.lit(sure.agg(quantile(F.col("nll"), 0.5).alias("m")).first()["m"]).cast("double")
+    over_all = F.lit(sure.agg(quantile(far(middle), QUANTILE).alias("s")).first()["s"]).cast("double")
     ours = sure.filter("lang is not null")
-    middles = F.broadcast(ours.groupBy("lang").agg(quantile(F.col("nll"), 0.5).alias("middle")))  # one row a language of trusted text
-    by_lang = F.broadcast(ours.join(middles, "lang").groupBy("lang").agg(F.first("middle").alias("middle"), quantile(far, QUANTILE).alias("scatter")))
-    got = scored.join(by_lang, "lang", "left")
-    own = F.coalesce("middle", F.lit(middle).cast("double")) + F.coalesce("scatter", F.lit(scatter).cast("double")) / root
-    got = got.withColumn("threshold", own + MARGIN)
-    kept = F.col("nll").isNotNull() & F.coalesce(F.col("nll") <= F.col("threshold"), F.lit(True))
-    return got.select("doc_id", "lang", "n_units", "nll", F.exp("nll").alias("perplexity"), "threshold", "trusted", kept.alias("kept"))
+    by_lang = ours.groupBy("lang").agg(quantile(F.col("nll"), 0.5).alias("middle"))  # one row a language of trusted text
+    ours = ours.join(F.broadcast(by_lang), "lang")
+    pooled = F.lit(ours.agg(quantile(far(F.col("middle")), QUANTILE).alias("s")).first()["s"]).cast("double")
+    own = F.when(F.count(F.lit(1)) >= LEAST, quantile(far(F.col("middle")), QUANTILE)).otherwise(pooled)
+    by_lang = ours.groupBy("lang").agg(F.first("middle").alias("middle"), own.alias("scatter"))
+    got = scored.join(F.broadcast(by_lang), "lang", "left")
+    threshold = F.coalesce(F.col("middle"), middle) + F.when(F.col("middle").isNotNull(), F.col("scatter")).otherwise(over_all) / root
+    got = got.withColumn("threshold", threshold)
+    kept = F.col("nll").isNotNull() & F.coalesce(F.col("nll") <= F.col("threshold") + TINY, F.lit(True))
+    return got.select("doc_id", "lang", "n_units", "nll", F.exp("nll").alias("perplexity"), "threshold", "trusted", "held", kept.alias("kept"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -170,7 +170,7 @@ def test_kneser_ney(spark, docs, no_docs, rows):
     texts = ["the cat sat on the mat", "the dog sat on the log", "", "a cat and a dog", "THE!! CAT!!", "zq xj 中"]
     df = spark.createDataFrame([(i, t, "en" if i else None) for i, t in enumerate(texts)] + [(9, None, "xx")], "doc_id long, text string, lang string").repartition(2)
     labels = spark.createDataFrame([(0, 1), (1, 1), (3, 1), (4, 0), (None, 1), (1, 1)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in kneser_ney.classify(df, labels).collect()}
+    got = {r["doc_id"]: r for r in kneser_ney.classify(df, labels, held=0).collect()}
     want = brute_kneser_ney([texts[0], texts[1], texts[3]], texts)
     for i, w in enumerate(want):
         assert got[i]["nll"] is None if w is None else got[i]["nll"] == pytest.approx(w, abs=1e-9)
@@ -178,6 +178,43 @@ def test_kneser_ney(spark, docs, no_docs, rows):
     assert all(r["kept"] == (r["nll"] is not None) for r in kneser_ney.classify(df, labels.limit(0)).collect())
     assert kneser_ney.classify(no_docs, labels).count() == 0
     assert kneser_ney.quality_filter(docs, labels).columns == docs.columns
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gridlab")]
+
+
+def test_op8_against_brute_force(spark, tmp_path, monkeypatch):
+    """The registered query, held-out split, thresholds by language and verdicts, all computed again in plain Python."""
+    monkeypatch.setattr(kneser_ney, "LEAST", 8)
+    rng = random.Random(12)
+    say = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["schr", "ent", "ung"], "cc": ["xo", "xu"]}
+    rows = [(i, " ".join("".join(rng.choices(say[la], k=2)) for _ in range(rng.randint(3, 60))), la) for i, la in enumerate(rng.choices(["aa", "bb", "cc"], [12, 9, 2], k=160))]
+    rows += [(200 + i, "".join(rng.choices("qwz#", k=90)), "aa") for i in range(6)] + [(300, rows[0][1], None), (301, "ka", "dd"), (302, "", "aa"), (303, None, None)]
+    good = [i for i, _, _ in rows if i < 110]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in good] + [(200, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_quality_classifier(spark, str(tmp_path)).collect()}
+    held = {r["doc_id"] for r in spark.range(110).selectExpr("id as doc_id").filter(f"pmod(xxhash64(id), {kneser_ney.HELD}) = 0").collect()}
+    nll = dict(zip([r[0] for r in rows], brute_kneser_ney([t for i, t, _ in rows if i in good and i not in held], [t or "" for _, t, _ in rows])))
+
+    def quantile(values, q):
+        return sorted(values)[max(math.ceil(q * len(values)) - 1, 0)]
+
+    unseen = [(i, t, la) for i, t, la in rows if i in held]
+    middle = {la: quantile([nll[i] for i, _, x in unseen if x == la], 0.5) for la in {x for _, _, x in unseen}}
+    far = {la: [(nll[i] - middle[la]) * math.sqrt(len(t)) for i, t, x in unseen if x == la] for la in middle}
+    every = quantile([nll[i] for i, _, _ in unseen], 0.5)
+    over_all = quantile([(nll[i] - every) * math.sqrt(len(t)) for i, t, _ in unseen], kneser_ney.QUANTILE)
+    pooled = quantile([x for some in far.values() for x in some], kneser_ney.QUANTILE)
+    assert any(len(x) < 8 for x in far.values()) and any(len(x) >= 8 for x in far.values())
+    for i, t, la in rows:
+        r = got[i]
+        assert (r["trusted"], r["held"]) == (i in good, i in held)
+        if not t:
+            assert r["nll"] is None and not r["kept"]
+            continue
+        spread = over_all if la not in middle else quantile(far[la], kneser_ney.QUANTILE) if len(far[la]) >= 8 else pooled
+        limit = middle.get(la, every) + spread / math.sqrt(len(t))
+        assert r["nll"] == pytest.approx(nll[i], abs=1e-9) and r["threshold"] == pytest.approx(limit, abs=1e-9) and r["kept"] == (nll[i] <= limit + 1e-9)
+    assert len(got) == len(rows) and not any(got[200 + i]["kept"] for i in range(6))
 
 
 def test_language(spark, docs, no_docs):
@@ -255,7 +292,7 @@ def test_quality_threshold_follows_the_scatter_of_sizes(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, "en", n, 1.6 + rng.gauss(0, 0.8) / math.sqrt(n), True) for i in range(400) for n in [rng.choice([25, 400, 2500])]]
     rows += [(1000, "en", 25, 1.75, False), (1001, "en", 2500, 1.75, False), (1002, None, 2500, 1.75, False), (1003, "en", 2500, 1.63, False)]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, n_units long, nll double, trusted boolean")
+    df = spark.createDataFrame([(*r, r[0] % 2 == 0 and r[4]) for r in rows], "doc_id long, lang string, n_units long, nll double, trusted boolean, held boolean")
     monkeypatch.setattr(kneser_ney, "scores", lambda *a: df)
     kept = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(None, None).collect()}
     assert [kept[i] for i in (1000, 1001, 1002, 1003)] == [True, False, False, True]
