@@ -14,6 +14,10 @@ from gridlab.llm.common import Scratch, table, tune
 from gridlab.llm.queries import vocabulary
 
 
+#: Differing fingerprint bits of near copies; wider than the 2 of the query, which its contract fixes.
+NEAR_RADIUS = 4
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
     return kneser_ney.quality_filter(docs, table(spark, sf_dir, "labels"))
@@ -26,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return simhash.near_dedup(docs)
+    return simhash.near_dedup(docs, radius=NEAR_RADIUS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
