@@ -39,19 +39,23 @@ class Packing:
     dtype: str
     lo: float
     hi: float
+    fill: int | None = None
 
     @property
     def limits(self) -> tuple[int, int, int]:
-        return INTEGERS[self.dtype]
+        least, top, fill = INTEGERS[self.dtype]
+        return least, top, fill if self.fill is None else int(self.fill)
 
     @property
     def parameters(self) -> tuple[float, float, str]:
-        """(scale, offset, type of the decoded value)."""
+        """(scale, offset, type of the decoded value). Where float32 carries them, both are rounded to it before any use."""
         _, top, fill = self.limits
         scale = (self.hi - self.lo) / (top - (fill + 1)) or 1.0
+        offset = self.hi - top * scale
         ulp = float(np.spacing(np.float32(max(abs(self.lo), abs(self.hi)))))
-        kind = "float32" if scale / ulp > 16 else "float64"
-        return scale, self.hi - top * scale, kind
+        if scale / ulp > 16:
+            return float(np.float32(scale)), float(np.float32(offset)), "float32"
+        return scale, offset, "float64"
 
     def code(self, v: Column) -> Column:
         scale, offset, _ = self.parameters
@@ -60,7 +64,7 @@ class Packing:
 
     def value(self, code: Column) -> Column:
         scale, offset, kind = self.parameters
-        return (code.cast("double") * scale + offset).cast(SPARK_TYPES[kind])
+        return (F.lit(offset) + F.lit(scale) * code.cast("double")).cast(SPARK_TYPES[kind])
 
 
 @dataclass(frozen=True)
@@ -104,6 +108,10 @@ class Encoding:
             return tuple(self.value_range)
         return INTEGER_RANGE if self.dtype in INTEGERS or self.dtype.startswith("S") else (0.0, 1.0)
 
+    @property
+    def packing(self) -> Packing:
+        return Packing(self.pack, *map(float, self.bounds), self.fill_value)
+
     def stored(self, u: Column) -> Column:
         lo, hi = self.bounds
         if self.text:
@@ -112,8 +120,7 @@ class Encoding:
             return int_bins(u, int(lo), int(hi)).cast(SPARK_TYPES[self.dtype])
         v = affine(u, lo, hi)
         if self.pack is not None:
-            packing = Packing(self.pack, float(lo), float(hi))
-            return packing.value(packing.code(v))
+            return self.packing.value(self.packing.code(v))
         return v.cast(SPARK_TYPES[self.dtype])
 
 
@@ -126,6 +133,19 @@ def spread(value, n: int) -> list:
     return [value] * n
 
 
+def by_name(names: list[str], encodings: list[Encoding]) -> dict[str, Encoding]:
+    """The encoding of each variable: `var<N>` takes the Nth, any other name the one at its place."""
+    at = {c: int(c[3:]) if c.startswith("var") and c[3:].isdigit() else i for i, c in enumerate(names)}
+    return {c: encodings[i] for c, i in at.items() if i < len(encodings)}
+
+
+def format_value(v: Column, dtype: str) -> Column:
+    """A table's cell as text: floats with three decimals, vacant ones as NaN."""
+    if dtype not in ("double", "float"):
+        return v.cast("string")
+    return F.when(v.isNull() | F.isnan(v), "NaN").otherwise(F.format_string("%.3f", v))
+
+
 def format_bytes(n: Column) -> Column:
     """Binary units with one decimal."""
     out = F.format_string("%.1f TiB", n / F.lit(float(1 << 40)))

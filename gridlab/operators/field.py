@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.random import CORRELATED_FIELD, numpy_stream
 
 # Plane waves of a field, default correlation length, distance of a clipped draw from 0 and 1.
 MODES, DEFAULT_LENGTH, CLIP = 64, 10.0, 1e-12
+# Published coefficients, the highest power first, of Hart's approximation of the normal distribution function
+# and of Acklam's approximation of its inverse.
+HART_TOP = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+HART_BOTTOM = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+ACKLAM_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239]
+ACKLAM_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
+ACKLAM_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+ACKLAM_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996, 3.754408661907416]
 
 
 def lengths(given, num_dims: int) -> list[float | None]:
@@ -32,10 +36,10 @@ def lengths(given, num_dims: int) -> list[float | None]:
 def waves(seed: int, var: int, scale: list[float | None]) -> tuple[np.ndarray, np.ndarray]:
     """(phases, wave numbers by dim). All draws are made, so one dim's length doesn't move another's."""
     rng = numpy_stream(seed, CORRELATED_FIELD, var)
-    phase, k = rng.uniform(0, 2 * np.pi, MODES), []
-    for x in scale:
-        normal, even = rng.normal(0, 1, MODES), rng.uniform(-np.pi, np.pi, MODES)
-        k.append(np.zeros(MODES) if x is None else even if x == 0 else normal / x)
+    phase = rng.uniform(0, 2 * np.pi, MODES)
+    normal = rng.normal(0, 1, (MODES, len(scale)))
+    even = rng.uniform(-np.pi, np.pi, (MODES, len(scale)))
+    k = [np.zeros(MODES) if x is None else even[:, d] if x == 0 else normal[:, d] / x for d, x in enumerate(scale)]
     return phase, np.stack(k, axis=1)
 
 
@@ -46,17 +50,35 @@ def wave_sum(phase: np.ndarray, k: np.ndarray, index: list[Column]) -> Column:
     return F.aggregate(table, F.lit(0.0), lambda a, w: a + F.cos(angle(w))) * math.sqrt(2 / len(phase))
 
 
-@F.pandas_udf(DoubleType())
-def ndtr(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), na_action="ignore")
+def poly(x: Column, coefficients: list[float]) -> Column:
+    """By Horner's rule, the highest power first."""
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
 
 
-@F.pandas_udf(DoubleType())
-def ndtri(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    inverse = NormalDist().inv_cdf
-    for s in batches:
-        yield s.map(lambda u: inverse(min(max(u, CLIP), 1 - CLIP)), na_action="ignore")
+def ndtr(x: Column) -> Column:
+    """The normal distribution function as a Column: West's double precision form of Hart's rational approximation."""
+    z = F.abs(x)
+    near = F.exp(-z * z / 2) * poly(z, HART_TOP) / poly(z, HART_BOTTOM)
+    tail = F.exp(-z * z / 2) / (z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65))))) / math.sqrt(2 * math.pi)
+    low = F.when(z > 37, 0.0).when(z < 7.07106781186547, near).otherwise(tail)
+    return F.when(x > 0, 1 - low).otherwise(low)
+
+
+def ndtri(u: Column) -> Column:
+    """The inverse of ndtr of a clipped draw, as a Column: Acklam's rational approximation and one step of Halley's rule."""
+    u = F.least(F.greatest(u, F.lit(CLIP)), F.lit(1 - CLIP))
+    side = F.least(u, 1 - u)  # the lower half; the upper one is its mirror image
+    r = side - 0.5
+    inner = poly(r * r, ACKLAM_A) * r / poly(r * r, [*ACKLAM_B, 1.0])
+    q = F.sqrt(-2 * F.log(side))
+    outer = poly(q, ACKLAM_C) / poly(q, [*ACKLAM_D, 1.0])
+    x = F.when(side < 0.02425, outer).otherwise(inner)
+    step = (ndtr(x) - side) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+    x = x - step / (1 + x * step / 2)
+    return F.when(u > 0.5, -x).otherwise(x)
 
 
 def correlated(field: Column, u: Column, noise: float = 0.0) -> Column:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.encode import format_value
+
 
 def project(df: DataFrame, dims: list[str], value: str) -> DataFrame:
     """A variable on its own dims: the largest value over the others."""
@@ -27,6 +29,8 @@ def to_table(variables: dict[str, tuple[list[str], DataFrame]], dims: list[str],
     """
     full = [v for v, (own, _) in variables.items() if len(own) == len(dims)]
     fewer = sorted((v for v in variables if v not in full), key=lambda v: (len(dims) - len(variables[v][0]), list(variables).index(v)))
+    if not full:
+        raise ValueError("no variable lies on all dims, so nothing gives the rows")
     parts = [df.select(*dims, *[F.col(w) if w == v else F.lit(None).cast(dict(variables[w][1].dtypes)[w]).alias(w) for w in full]) for v in full for df in [variables[v][1]]]
     out = reduce(DataFrame.unionByName, parts).groupBy(*dims).agg(*[F.max(v).alias(v) for v in full])
     if len(full) == 1:
@@ -36,8 +40,10 @@ def to_table(variables: dict[str, tuple[list[str], DataFrame]], dims: list[str],
         met = out.dropna(subset=own).select(*own).distinct()
         out = out.unionByName(df.join(met, own, "left_anti").select(*own), allowMissingColumns=True)
     for v in fewer:
+        # rows that lack one of these dims match nothing, so they need not meet in the join
         own, df = variables[v]
-        out = out.join(df.select(*own, v), own, "left")
+        lost = reduce(lambda a, b: a | b, [F.col(d).isNull() for d in own])
+        out = out.filter(~lost).join(df.select(*own, v), own, "left").unionByName(out.filter(lost), allowMissingColumns=True)
     out = out.select(*dims, *variables)
     if not sort:
         return out
@@ -66,10 +72,16 @@ def to_slabs(df: DataFrame, split: str, rest: list[str], shape: dict[str, int],
     for d in rest:
         flat, size = flat * shape[d] + F.col(d), size * shape[d]
     flat = F.when(inside, flat).otherwise(F.raise_error(F.lit("a cell lies outside the shape")).cast("long"))
-    cells = df.groupBy(split).agg(F.map_from_entries(F.collect_list(F.struct(flat.alias("k"), F.col(value).alias("v")))).alias("cells"))
+    cells = df.groupBy(split).agg(F.sort_array(F.collect_list(F.struct(flat.alias("k"), F.col(value).alias("v")))).alias("cells"))
     axis = df.sparkSession.range(shape[split]).select(F.col("id").alias(split))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.try_element_at("cells", k.cast("long")))
-    return axis.join(cells, split, "left").select(split, filled.alias("slab"))
+    got = axis.join(cells, split, "left").select(split, F.coalesce("cells", F.array()).alias("cells"))
+    # each cell in order brings the vacant ones before it, and an end mark those after the last
+    none = F.lit(None).cast(dict(df.dtypes)[value])
+    before = lambda c, i: F.when(i > 0, F.get("cells", i - 1)["k"]).otherwise(F.lit(-1).cast("long"))
+    runs = F.transform("cells", lambda c, i: F.concat(F.array_repeat(none, (c["k"] - before(c, i) - 1).cast("int")), F.array(c["v"])))
+    last = F.when(F.size("cells") > 0, F.get("cells", F.size("cells") - 1)["k"]).otherwise(F.lit(-1).cast("long"))
+    rest_of_it = F.array_repeat(none, (F.lit(size - 1) - last).cast("int"))
+    return got.select(split, F.concat(F.flatten(runs), rest_of_it).alias("slab"))
 
 
 def squeeze(df: DataFrame, dims: list[str], value: str) -> tuple[DataFrame, list[str]]:
@@ -77,3 +89,9 @@ def squeeze(df: DataFrame, dims: list[str], value: str) -> tuple[DataFrame, list
     counts = df.filter(F.col(value).isNotNull()).agg(*[F.count_distinct(F.col(d)).alias(d) for d in dims]).first()
     stay = [d for d in dims if counts[d] > 1]
     return df.select(*stay, value), stay
+
+
+def truncated(df: DataFrame, rows: int = 10, columns: int = 8) -> DataFrame:
+    """A table's corner as text, for display."""
+    types = dict(df.dtypes)
+    return df.limit(rows).select(*[format_value(F.col(f"`{c}`"), types[c]).alias(c) for c in df.columns[:columns]])

@@ -10,7 +10,7 @@ import numpy as np
 
 from ..functions.encode import Encoding, spread
 from ..functions.random import CONST_COORD, DENSITY, VAR_DIMS, numpy_stream
-from ..operators.apportion import chunk_bounds
+from ..operators.apportion import apportion_list, chunk_bounds
 from ..operators.field import lengths
 
 
@@ -45,6 +45,14 @@ def least_density(shape: list[int], padded_dim: int | None = None) -> float:
     return (cells / n + n - 1) / cells
 
 
+def clipped(densities: list[float], least: float) -> list[float]:
+    """Densities with var0's raised to the least that reaches every coordinate; the others need not reach any."""
+    if densities[0] >= least:
+        return densities
+    warnings.warn(f"var0's density {densities[0]} is raised to {least}", stacklevel=2)
+    return [least, *densities[1:]]
+
+
 @dataclass
 class GridSpec:
     """Parameters as a user gives them; the corrected values are attributes after construction."""
@@ -69,6 +77,7 @@ class GridSpec:
     data_structure: object = "uncorrelated"
     correlation_length: object = None
     noise: object = None
+    max_workers: int | None = None
     shape: list[int] = field(init=False)
     dims: list[list[int]] = field(init=False)
     var_num_obs: list[int] = field(init=False)
@@ -82,6 +91,9 @@ class GridSpec:
         positive("num_dims", self.num_dims)
         positive("num_vars", self.num_vars)
         positive("seed", self.seed, 0)
+        for name in ("max_workers", "max_obs"):
+            if getattr(self, name) is not None:
+                positive(name, getattr(self, name))
         densities = self._densities()
         ratios = self.ratio_dims if isinstance(self.ratio_dims, (list, tuple)) else [self.ratio_dims] * self.num_dims
         if len(ratios) != self.num_dims:
@@ -101,6 +113,7 @@ class GridSpec:
         self.density = self.num_obs / cells
         if self.density < least and not math.isclose(self.density, least):
             raise ValueError(f"density {self.density} is below {least}, the least for shape {self.shape}")
+        densities = clipped(densities, min(least, self.density))
         self.dims = self._dims()
         self.var_num_obs = self._counts(densities)
         if max(self.var_num_obs) > self.var_num_obs[0]:
@@ -132,7 +145,7 @@ class GridSpec:
             raise ValueError("densities lie within 0 and 1, var0's above 0")
         if len(d) == self.num_vars:
             return d
-        if len(d) != 2:
+        if len(d) != 2 or self.num_vars == 1:
             raise ValueError(f"{len(d)} densities for {self.num_vars} variables")
         if d[0] < d[1] or d[1] == 0:
             raise ValueError("a density range is [most, least], least above 0")
@@ -221,3 +234,20 @@ class GridSpec:
     def chunks(self) -> list[tuple[int, int]]:
         n = 1 if self.max_obs is None else max(1, math.ceil(self.num_obs / self.max_obs))
         return chunk_bounds(self.shape[self.split], n)
+
+    @property
+    def chunk_shapes(self) -> list[list[int]]:
+        """The grid of each chunk: the whole one but for the split axis."""
+        return [[hi - lo if d == self.split else n for d, n in enumerate(self.shape)] for lo, hi in self.chunks]
+
+    @property
+    def chunk_counts(self) -> list[list[int]]:
+        """Observations of each variable (outer) in each chunk (inner), in proportion to the chunk's share of the grid."""
+        weights = [float(hi - lo) for lo, hi in self.chunks]
+        return [apportion_list(n, weights) for n in self.var_num_obs]
+
+    def config(self) -> dict[str, object]:
+        """The corrected configuration, one value a name."""
+        names = ("num_obs", "num_dims", "num_vars", "seed", "density", "shape", "dims", "var_num_obs", "split", "layout", "padded_dim", "overlap", "fixed_overlap", "max_obs")
+        out = {c: getattr(self, c) for c in names}
+        return out | {"grid_points": math.prod(self.shape), "chunks": len(self.chunks), "encodings": [e.pack or e.dtype for e in self.encodings]}

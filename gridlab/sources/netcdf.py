@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encode import INTEGERS, Encoding, Packing
+from ..functions.encode import INTEGERS, Encoding
 from ..operators import generate, layout
 from ..operators.place import coordinates
 from ..plans.spec import GridSpec
@@ -152,8 +152,8 @@ def array_variable(name: str, dims: list[str], e: Encoding) -> tuple[Variable, o
     if e.text:
         return Variable(name, [*dims, f"{name}_width"], CODES["S1"]), b"\0"
     if e.pack:
-        scale, offset, kind = Packing(e.pack, *map(float, e.bounds)).parameters
-        as_kind, fill = np.dtype(kind).type, np.dtype(e.pack).type(INTEGERS[e.pack][2])
+        scale, offset, kind = e.packing.parameters
+        as_kind, fill = np.dtype(kind).type, np.dtype(e.pack).type(e.packing.limits[2])
         return Variable(name, dims, CODES[e.pack], {"_FillValue": fill, "scale_factor": as_kind(scale), "add_offset": as_kind(offset)}), fill
     fill = INTEGERS[e.dtype][2] if e.dtype in INTEGERS else math.nan
     fill = np.dtype(e.dtype).type(fill if e.fill_value is None else e.fill_value)
@@ -207,7 +207,7 @@ def _batches(rows: DataFrame, spec: GridSpec, v: int, e: Encoding):
         flat = flat * spec.shape[d] + F.col(f"i{d}")
     value = e.stored(generate.drawn(spec, v))
     if e.pack:
-        value = Packing(e.pack, *map(float, e.bounds)).code(value.cast("double"))
+        value = e.packing.code(value.cast("double"))
     kind = f"S{e.text}" if e.text else e.pack or e.dtype
 
     def join(batches):
