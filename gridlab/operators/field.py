@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
@@ -58,27 +59,41 @@ def poly(x: Column, coefficients: list[float]) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body uses it; as text it would grow with every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ndtr(x: Column) -> Column:
     """The normal distribution function as a Column: West's double precision form of Hart's rational approximation."""
-    z = F.abs(x)
-    near = F.exp(-z * z / 2) * poly(z, HART_TOP) / poly(z, HART_BOTTOM)
-    tail = F.exp(-z * z / 2) / (z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65))))) / math.sqrt(2 * math.pi)
-    low = F.when(z > 37, 0.0).when(z < 7.07106781186547, near).otherwise(tail)
-    return F.when(x > 0, 1 - low).otherwise(low)
+
+    def lower(z: Column) -> Column:
+        near = F.exp(-z * z / 2) * poly(z, HART_TOP) / poly(z, HART_BOTTOM)
+        tail = F.exp(-z * z / 2) / (z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65))))) / math.sqrt(2 * math.pi)
+        return F.when(z > 37, 0.0).when(z < 7.07106781186547, near).otherwise(tail)
+
+    return let(x, lambda v: let(let(F.abs(v), lower), lambda low: F.when(v > 0, 1 - low).otherwise(low)))
 
 
 def ndtri(u: Column) -> Column:
     """The inverse of ndtr of a clipped draw, as a Column: Acklam's rational approximation and one step of Halley's rule."""
-    u = F.least(F.greatest(u, F.lit(CLIP)), F.lit(1 - CLIP))
-    side = F.least(u, 1 - u)  # the lower half; the upper one is its mirror image
-    r = side - 0.5
-    inner = poly(r * r, ACKLAM_A) * r / poly(r * r, [*ACKLAM_B, 1.0])
-    q = F.sqrt(-2 * F.log(side))
-    outer = poly(q, ACKLAM_C) / poly(q, [*ACKLAM_D, 1.0])
-    x = F.when(side < 0.02425, outer).otherwise(inner)
-    step = (ndtr(x) - side) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
-    x = x - step / (1 + x * step / 2)
-    return F.when(u > 0.5, -x).otherwise(x)
+
+    def first(side: Column) -> Column:
+        r, q = side - 0.5, F.sqrt(-2 * F.log(side))
+        inner = let(r * r, lambda t: poly(t, ACKLAM_A) / poly(t, [*ACKLAM_B, 1.0])) * r
+        outer = let(q, lambda t: poly(t, ACKLAM_C) / poly(t, [*ACKLAM_D, 1.0]))
+        return F.when(side < 0.02425, outer).otherwise(inner)
+
+    def better(side: Column) -> Column:
+        def step(x: Column) -> Column:
+            return let((ndtr(x) - side) * math.sqrt(2 * math.pi) * F.exp(x * x / 2), lambda e: x - e / (1 + x * e / 2))
+
+        return let(first(side), step)
+
+    def whole(v: Column) -> Column:  # the upper half is the mirror image of the lower
+        return let(let(F.least(v, 1 - v), better), lambda x: F.when(v > 0.5, -x).otherwise(x))
+
+    return let(F.when(u.isNotNull(), F.least(F.greatest(u, F.lit(CLIP)), F.lit(1 - CLIP))), whole)
 
 
 def correlated(field: Column, u: Column, noise: float = 0.0) -> Column:

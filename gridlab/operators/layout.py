@@ -78,7 +78,8 @@ def to_slabs(df: DataFrame, split: str, rest: list[str], shape: dict[str, int],
     # each cell in order brings the vacant ones before it, and an end mark those after the last
     none = F.lit(None).cast(dict(df.dtypes)[value])
     before = lambda c, i: F.when(i > 0, F.get("cells", i - 1)["k"]).otherwise(F.lit(-1).cast("long"))
-    runs = F.transform("cells", lambda c, i: F.concat(F.array_repeat(none, (c["k"] - before(c, i) - 1).cast("int")), F.array(c["v"])))
+    gap = lambda c, i: F.when(c["k"] > before(c, i), c["k"] - before(c, i) - 1).otherwise(F.raise_error(F.lit("a cell occurs twice")).cast("long"))
+    runs = F.transform("cells", lambda c, i: F.concat(F.array_repeat(none, gap(c, i).cast("int")), F.array(c["v"])))
     last = F.when(F.size("cells") > 0, F.get("cells", F.size("cells") - 1)["k"]).otherwise(F.lit(-1).cast("long"))
     rest_of_it = F.array_repeat(none, (F.lit(size - 1) - last).cast("int"))
     return got.select(split, F.concat(F.flatten(runs), rest_of_it).alias("slab"))

@@ -33,3 +33,27 @@ def write(df: DataFrame, path: str, overwrite: bool = False, max_records: int |
 def disk_size(spark: SparkSession, path: str) -> int:
     fs, where = _file(spark, path)
     return fs.getContentSummary(where).getLength()
+
+
+def is_table(spark: SparkSession, path: str) -> bool:
+    """A path that ends in .parquet or is a directory."""
+    fs, where = _file(spark, path)
+    return path.endswith(".parquet") or (fs.exists(where) and fs.getFileStatus(where).isDirectory())
+
+
+def named(path: str, suffix: str) -> str:
+    """The path with the suffix; `test` in a directory that is named alone."""
+    path = f"{path}test" if path.endswith("/") else path
+    return path if path.endswith(suffix) else path + suffix
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a directory that holds nothing but Parquet parts and marks of a write; anything else is left and an error."""
+    fs, where = _file(spark, path)
+    if not fs.exists(where):
+        return
+    held = list(fs.listStatus(where))
+    odd = [f.getPath().getName() for f in held if f.isDirectory() or not f.getPath().getName().startswith(("part-", "_", "."))]
+    if odd:
+        raise ValueError(f"{path} holds {odd[:3]}")
+    fs.delete(where, True)

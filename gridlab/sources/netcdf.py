@@ -1,7 +1,7 @@
 """netCDF classic files: the dense array form of a dataset. Written as CDF-5, read as CDF-1, CDF-2 or CDF-5.
 
-A file is one local or mounted path that the driver and every executor see. Writing goes through the driver in
-batches of occupied cells, since one file has one writer; the array itself is mapped, never held. Reading is spread over
+A file is one local or mounted path that the driver and every executor see. Chunks along the split axis are written by
+the tasks, one file each, and may be joined into one file; an array is mapped, never held. Reading is spread over
 tasks by blocks of cells, and only occupied cells become rows. Record (unlimited) dims are not supported.
 """
 
@@ -11,10 +11,11 @@ import math
 import os
 import struct
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encode import INTEGERS, Encoding
@@ -160,15 +161,15 @@ def array_variable(name: str, dims: list[str], e: Encoding) -> tuple[Variable, o
     return Variable(name, dims, CODES[e.dtype], {"_FillValue": fill}), fill
 
 
-def write(spark: SparkSession, spec: GridSpec, path: str, overwrite: bool = False) -> None:
-    """The generated dataset as arrays on each variable's own dims, with coordinates and attributes."""
-    if os.path.exists(path):
-        if not overwrite:
-            raise FileExistsError(path)
-        read_header(path)  # nothing but such a file is replaced
-    names = ["record"] if spec.num_vars == 1 else [f"var{v}" for v in range(spec.num_vars)]
-    x = [f"x{d}" for d in range(spec.num_dims)]
-    head = Header(dict(zip(x, spec.shape)), {"num_obs": spec.num_obs, "density": spec.density, "seed": str(spec.seed), "num_vars": spec.num_vars, "var_num_obs": spec.var_num_obs}, {})
+def header(spec: GridSpec, chunk: int | None = None) -> tuple[Header, list[object]]:
+    """The header of the dataset, or of one chunk of the split axis, and each variable's value of a vacant cell."""
+    names, x = generate.variable_names(spec), [f"x{d}" for d in range(spec.num_dims)]
+    shape = spec.shape if chunk is None else spec.chunk_shapes[chunk]
+    counts = spec.var_num_obs if chunk is None else [n[chunk] for n in spec.chunk_counts]
+    head = Header(dict(zip(x, shape)), {"split_dim": x[spec.split], "seed": str(spec.seed), "num_vars": spec.num_vars}, {})
+    head.attrs |= {"num_obs": counts[0], "density": counts[0] / math.prod(shape), "var_num_obs": counts}
+    if chunk is not None:
+        head.attrs["chunk_id"] = chunk
     if spec.num_vars > 1:
         targets = [math.nan if t is None else t for t in spec.overlap]
         head.attrs |= {"overlap_target": targets, "overlap_convention": "share of var0's sites on the shared dims", "fixed_overlap": [int(f) for f in spec.fixed_overlap]}
@@ -176,49 +177,120 @@ def write(spark: SparkSession, spec: GridSpec, path: str, overwrite: bool = Fals
         head.variables[c] = Variable(c, [c], CODES["float64"])
     fills = []
     for v, (name, e) in enumerate(zip(names, spec.encodings)):
-        made, fill = array_variable(name, [x[d] for d in spec.dims[v]], e)
-        head.variables[name] = made
+        head.variables[name], fill = array_variable(name, [x[d] for d in spec.dims[v]], e)
         fills.append(fill)
         if e.text:
             head.dims[f"{name}_width"] = e.text
-    raw, part = pack_header(head), f"{path}.part"
-    with open(part, "wb") as f:
-        f.write(raw)
+    return head, fills
+
+
+def create(path: str, head: Header) -> None:
+    """A file of the header's size, with the header in place."""
+    with open(path, "wb") as f:
+        f.write(pack_header(head))
         last = list(head.variables.values())[-1]
         size = math.prod(head.shape(last.name)) * np.dtype(TYPES[last.code]).itemsize
         f.truncate(last.begin + size + -size % 4)
-    for c, axis in zip(x, coordinates(spec)):
-        head.map(part, c, "r+")[:] = axis
-    rows = generate.indexed(spark, spec)
-    for v, (name, e, fill) in enumerate(zip(names, spec.encodings, fills)):
-        array = head.map(part, name, "r+").reshape(-1, *([e.text] if e.text else []))
-        for at in range(0, len(array), BLOCK):
-            array[at : at + BLOCK] = fill
-        for at, stored in _batches(rows, spec, v, e):
-            array[at] = stored
-        array.flush()
-    os.replace(part, path)
 
 
-def _batches(rows: DataFrame, spec: GridSpec, v: int, e: Encoding):
-    """(flat cells, stored values) of one variable, a batch at a time."""
-    flat = F.lit(0).cast("long")
-    for d in spec.dims[v]:
-        flat = flat * spec.shape[d] + F.col(f"i{d}")
+def _may_write(path: str, overwrite: bool) -> None:
+    if os.path.exists(path):
+        if not overwrite:
+            raise FileExistsError(path)
+        read_header(path)  # nothing but such a file is replaced
+
+
+def stored(spec: GridSpec, v: int) -> Column:
+    """The number or text that a file holds for a draw."""
+    e = spec.encodings[v]
     value = e.stored(generate.drawn(spec, v))
-    if e.pack:
-        value = e.packing.code(value.cast("double"))
-    kind = f"S{e.text}" if e.text else e.pack or e.dtype
+    return e.packing.code(value.cast("double")) if e.pack else value
 
-    def join(batches):
-        for pdf in batches:
-            values = pdf["value"].str.encode("ascii") if kind[0] == "S" else pdf["value"]
-            yield pd.DataFrame({"at": [pdf["at"].to_numpy(np.int64).tobytes()], "value": [values.to_numpy().astype(kind).tobytes()]})
 
-    held = rows.filter(F.col(f"u{v}").isNotNull()).select(flat.alias("at"), value.alias("value")).filter("at IS NOT NULL")
-    for r in held.mapInPandas(join, "at binary, value binary").toLocalIterator():
-        values = np.frombuffer(r["value"], kind)
-        yield np.frombuffer(r["at"], np.int64), values.view("S1").reshape(len(values), -1) if e.text else values
+def write_chunks(spark: SparkSession, spec: GridSpec, base: str, overwrite: bool = False) -> list[str]:
+    """One file a chunk of the split axis, <base>_<chunk>.nc, each written by one task from its own rows only.
+
+    max_obs bounds what a task holds. The generator runs once for all variables.
+    """
+    paths = [f"{base}_{k:04d}.nc" for k in range(len(spec.chunks))]
+    for p in paths:
+        _may_write(p, overwrite)
+    at = F.col(f"i{spec.split}")
+    size, longer = divmod(spec.shape[spec.split], len(paths))
+    chunk = F.when(at < longer * (size + 1), F.floor(at / (size + 1))).otherwise(longer + F.floor((at - longer * (size + 1)) / size))
+    rows = generate.indexed(spark, spec)
+    values = [F.when(F.col(f"u{v}").isNotNull(), stored(spec, v)).alias(f"s{v}") for v in range(spec.num_vars)]
+    rows = rows.select(chunk.cast("long").alias("chunk"), *[F.coalesce(f"i{d}", F.lit(-1)).alias(f"i{d}") for d in range(spec.num_dims)], *values)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["chunk"].iloc[0])
+        (lo, hi), (head, fills), part = spec.chunks[k], header(spec, k), f"{paths[k]}.part"
+        create(part, head)
+        for d, axis in enumerate(coordinates(spec)):
+            head.map(part, f"x{d}", "r+")[:] = axis[lo:hi] if d == spec.split else axis
+        for v, (name, e, fill) in enumerate(zip(generate.variable_names(spec), spec.encodings, fills)):
+            array = head.map(part, name, "r+").reshape(-1, *([e.text] if e.text else []))
+            for a in range(0, len(array), BLOCK):
+                array[a : a + BLOCK] = fill
+            own = [f"i{d}" for d in spec.dims[v]]
+            held = pdf[pdf[f"s{v}"].notna() & (pdf[own] >= 0).all(axis=1)]
+            index = [held[f"i{d}"].to_numpy(np.int64) - (lo if d == spec.split else 0) for d in spec.dims[v]]
+            cells = np.ravel_multi_index(index, head.shape(name)[: len(own)])
+            if e.text:
+                array[cells] = held[f"s{v}"].str.encode("ascii").to_numpy().astype(f"S{e.text}").view("S1").reshape(-1, e.text)
+            else:
+                array[cells] = held[f"s{v}"].to_numpy().astype(e.pack or e.dtype)
+            array.flush()
+        os.replace(part, paths[k])
+        return pd.DataFrame({"chunk": [k]})
+
+    rows.groupBy("chunk").applyInPandas(one, "chunk long").count()
+    return paths
+
+
+def joined(heads: list[Header]) -> Header:
+    """The header of chunk files laid end to end along their split axis."""
+    first, split = heads[0], heads[0].attrs["split_dim"]
+    dims = {d: sum(h.dims[d] for h in heads) if d == split else n for d, n in first.dims.items()}
+    attrs = {k: v for k, v in first.attrs.items() if k != "chunk_id"}
+    counts = np.sum([np.atleast_1d(h.attrs["var_num_obs"]) for h in heads], axis=0).tolist()
+    grid = math.prod(n for d, n in dims.items() if d in first.variables)
+    attrs |= {"num_obs": counts[0], "density": counts[0] / grid, "var_num_obs": counts}
+    return Header(dims, attrs, {v.name: Variable(v.name, v.dims, v.code, v.attrs) for v in first.variables.values()})
+
+
+def concat(paths: list[str], path: str, overwrite: bool = False, keep: bool = False) -> None:
+    """Chunk files as one, a variable after the other and a block at a time, so equal chunks give equal bytes. The chunks
+    go unless they are to be kept."""
+    _may_write(path, overwrite)
+    heads = [read_header(p) for p in paths]
+    head, part = joined(heads), f"{path}.part"
+    create(part, head)
+    split = head.attrs["split_dim"]
+    for name, v in head.variables.items():
+        out, at = head.map(part, name, "r+"), 0
+        axis = v.dims.index(split) if split in v.dims else None
+        for p, h in zip(paths, heads):
+            if axis is None and p != paths[0]:
+                break
+            here = h.map(p, name)
+            n = here.shape[axis] if axis is not None else 0
+            target = out if axis is None else out[tuple(slice(at, at + n) if k == axis else slice(None) for k in range(out.ndim))]
+            rows = max(1, BLOCK * len(here) // max(here.size, 1))
+            for a in range(0, len(here), rows):
+                target[a : a + rows] = here[a : a + rows]
+            at += n
+        out.flush()
+    os.replace(part, path)
+    if not keep:
+        for p in paths:
+            os.remove(p)
+
+
+def write(spark: SparkSession, spec: GridSpec, path: str, overwrite: bool = False) -> None:
+    """The generated dataset as arrays on each variable's own dims, with coordinates and attributes, in one file."""
+    _may_write(path, overwrite)
+    concat(write_chunks(spark, spec, f"{path}.chunk", overwrite=True), path, overwrite)
 
 
 # -- reading ------------------------------------------------------------------------------------------------------
@@ -260,20 +332,37 @@ def variable_rows(spark: SparkSession, path: str, name: str, head: Header | None
     return spark.range(0, math.ceil(n / BLOCK), 1, min(math.ceil(n / BLOCK), 4096)).mapInPandas(read, types)
 
 
+def axes_of(head: Header) -> list[str]:
+    """The dims but for widths of text."""
+    widths = {v.dims[-1] for v in head.variables.values() if v.code == 2}
+    return [d for d in head.dims if d not in widths]
+
+
+def names_of(head: Header) -> list[str]:
+    return [v for v in head.variables if v not in head.dims]
+
+
+def dims_of(head: Header) -> dict[str, list[str]]:
+    """The dims of each variable."""
+    return {v: [d for d in head.variables[v].dims if d in axes_of(head)] for v in names_of(head)}
+
+
+def whole_header(path: str | list[str]) -> Header:
+    return read_header(path) if isinstance(path, str) else joined([read_header(p) for p in path])
+
+
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The table of a file: labels by dim, then one column a variable. Several files are the chunks of one dataset."""
+    """The table of a file: labels by dim, then one column a variable.
+
+    Several files are the chunks of one dataset along its split axis. Every variable varies on that axis, so no cell
+    of one chunk matches a row of another and their tables are simply put together.
+    """
     if not isinstance(path, str):
-        parts = [read(spark, p) for p in path]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(spark, p) for p in path])
     head = read_header(path)
-    names = [v for v in head.variables if v not in head.dims]
-    widths = {v.dims[-1] for v in head.variables.values() if v.code == 2}
-    dims = [d for d in head.dims if d not in widths]
-    variables = {v: ([d for d in head.variables[v].dims if d in dims], variable_rows(spark, path, v, head)) for v in names}
-    if not any(len(own) == len(dims) for own, _ in variables.values()):
+    dims, own = axes_of(head), dims_of(head)
+    variables = {v: (own[v], variable_rows(spark, path, v, head)) for v in names_of(head)}
+    if not any(len(d) == len(dims) for d in own.values()):
         raise ValueError(f"{path}: no variable lies on all dims")
     axes = {d: spark.createDataFrame(list(enumerate(np.asarray(head.map(path, d)).tolist())), "i long, x double") for d in dims if d in head.variables}
     return layout.label(layout.to_table(variables, dims, sort=False), axes)

@@ -47,7 +47,7 @@ def test_reference_comes_first(spark):
 )
 def test_dims(spark, var1, dims, assumed):
     df = lines(spark, [None if v is None else float(v) for v in var1])
-    got = infer_dims(nulls(df), ["x0", "x1", "x2"], "var1", {"x0": 2, "x1": 2, "x2": 6})
+    got = infer_dims(nulls(df), ["x0", "x1", "x2"], ["var1"], {"x0": 2, "x1": 2, "x2": 6})[0]["var1"]
     assert got.dims == dims and got.assumed_constant == assumed
     if len(set(var1)) == 1:
         assert got.ambiguous == dims
