@@ -162,7 +162,9 @@ def test_components_of_chains(spark, monkeypatch, radius, share):
     assert [got.get(p, p) for p in prints] == [prints[c] for c in want]
 
 
-def test_exact(docs, no_docs, rows):
+@pytest.mark.parametrize("k", [1, 2, 1024])
+def test_exact(docs, no_docs, rows, k):
+    """With one or two counters most digests take the ordinary shuffle, with many all count as frequent."""
     def norm(t):
         return (t or "").translate(AZ)
 
@@ -170,9 +172,9 @@ def test_exact(docs, no_docs, rows):
     for r in rows:
         best[norm(r[1])] = max(best.get(norm(r[1]), -1), r[0])
     want = sorted((r[0], best[norm(r[1])], size[norm(r[1])], r[0] == best[norm(r[1])], hashlib.sha256(norm(r[1]).encode()).digest()) for r in rows)
-    assert sorted(tuple(x) for x in exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "digest").collect()) == want
+    assert sorted(tuple(x) for x in exact_dedup.exact_groups(docs, k=k).select("doc_id", "keep_id", "group_size", "kept", "digest").collect()) == want
     assert exact_dedup.exact_groups(no_docs).count() == 0
-    assert {r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()} == set(best.values())
+    assert {r["doc_id"] for r in exact_dedup.exact_dedup(docs, k=k).collect()} == set(best.values())
 
 
 def test_misra_gries():

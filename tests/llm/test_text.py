@@ -84,6 +84,10 @@ def test_histogram_packing():
                 for length, each in pattern:
                     got[length] += each * n
             assert got == want and len(patterns) <= 3 * size
+    for _ in range(20):  # with short pieces among them, little is left over
+        want = {rng.randint(1, 2048): rng.randint(1, 500) for _ in range(400)} | {n: 200 for n in range(1, 40)}
+        used = sum(n for _, n in packing.pack_histogram(want, 2048))
+        assert used <= 1.02 * sum(a * b for a, b in want.items()) / 2048 + 1
     with pytest.raises(ValueError):
         packing.pack_histogram({17: 1}, 16)
 
