@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_unique, keep_rows, row_key
@@ -88,12 +88,12 @@ def _flips(bits: int) -> list[int]:
 def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v), v < u: links within the radius that connect what pairs within it connect."""
     near, far = radius // 2, (radius + 1) // 2
-    flips = F.explode(F.array(*[F.lit(x) for x in _flips(far)])).alias("bits")
+    flips = F.explode(F.split(F.lit(",".join(map(str, _flips(far)))), ",").cast("array<long>")).alias("bits")  # folds to one literal
     points = found.select("fp", flips).select("fp", F.col("fp").bitwiseXOR(F.col("bits")).alias("point"), (F.bit_count("bits") <= near).alias("near"))
-    # as many fingerprints at most name a point as there are words of so few bits: these lists are bounded
-    stars = points.groupBy("point").agg(F.collect_list("fp").alias("all"), F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"))
-    stars = stars.filter((F.size("all") > 1) & F.col("hub").isNotNull())
-    both = stars.select(F.col("hub").alias("v"), F.explode("all").alias("u")).filter("u != v")
+    # as many fingerprints at most name a point as there are words of so few bits: these groups are bounded
+    same = Window.partitionBy("point")
+    hub = F.min(F.when(F.col("near"), F.col("fp"))).over(same)
+    both = points.select(F.col("fp").alias("u"), hub.alias("v")).filter("u != v")
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
