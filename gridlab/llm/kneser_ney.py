@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -206,15 +205,15 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "trusted",
     )
 
-    def tally(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"key": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)})
-        texts = unseal(left["sealed"].iloc[0])
-        keys, counts = count([texts[i] for i in right["at"]])
-        return pd.DataFrame({"key": keys.view(np.int64), "c": counts})
+    def tally(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            texts = unseal(left.column("sealed")[0].as_py())
+            keys, counts = count([texts[i] for i in right.column("at").to_pylist()])
+        return pa.table({"key": keys.view(np.int64), "c": counts})
 
     sealed = blocks.select("block", "sealed").groupBy("block")
-    counts = sealed.cogroup(trusted.filter("not held").groupBy("block")).applyInPandas(tally, "key long, c long")
+    counts = sealed.cogroup(trusted.filter("not held").groupBy("block")).applyInArrow(tally, "key long, c long")
     counts = scratch.save(counts.groupBy("key").agg(F.sum("c").alias("c")), "counts")
     asked = blocks.select(F.col("block").alias("asker"), F.explode("keys").alias("key"))
     model = Scratch(spark, "kneser-ney-model")
@@ -223,28 +222,28 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.clear()
     answers = asked.join(known.hint("merge"), "key")
 
-    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("key")
-        keys, logp = right["key"].to_numpy(np.int64), right["logp"].to_numpy()
-        order = np.argsort(keys.view(np.uint64))
-        keys, logp = keys.view(np.uint64)[order], logp[order]
-        texts = unseal(left["sealed"].iloc[0])
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, logp = right.column("key").to_numpy().view(np.uint64), right.column("logp").to_numpy()
+        order = np.argsort(keys)
+        keys, logp = keys[order], logp[order]
+        texts = unseal(left.column("sealed")[0].as_py())
         n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for at, part in runs(texts):
             g, sizes = grams(part)
             got = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(keys, g)])]) if len(g) else np.zeros(1)
             stop = np.cumsum(sizes)
             n[at : at + len(part)], total[at : at + len(part)] = sizes, got[stop] - got[stop - sizes]
-        nll = np.where(n > 0, -total / np.maximum(n, 1), np.nan)
-        return pd.DataFrame({"doc_id": left["ids"].iloc[0], "lang": left["langs"].iloc[0], "n_units": n, "nll": nll, "at": np.arange(len(n)), "from": left["block"].iloc[0]})
+        nll = pa.array(-total / np.maximum(n, 1), mask=n == 0)
+        ids, langs = (left.column(c)[0].values for c in ("ids", "langs"))
+        block = np.full(len(n), left.column("block")[0].as_py(), np.int64)
+        return pa.table([ids, langs, pa.array(n), nll, pa.array(np.arange(len(n), dtype=np.int32)), pa.array(block)], names=["doc_id", "lang", "n_units", "nll", "at", "from"])
 
     scored = (
         blocks.select("block", "ids", "langs", "sealed")
         .groupBy("block")
         .cogroup(answers.groupBy("asker"))
-        .applyInPandas(judge, f"doc_id {kind}, lang string, n_units long, nll double, at int, from long")
+        .applyInArrow(judge, f"doc_id {kind}, lang string, n_units long, nll double, at int, from long")
     )
-    scored = scored.withColumn("nll", F.nanvl("nll", F.lit(None).cast("double")))
     marked = trusted.select(F.col("block").alias("from"), "at", "held").hint("merge")
     out = scratch.save(
         scored.join(marked, ["from", "at"], "left").select(
