@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 INTEGERS = {"int8": (-128, 127, -127), "int16": (-32768, 32767, -32767), "int32": (-2147483648, 2147483647, -2147483647)}
 SPARK_TYPES = {"float64": "double", "float32": "float", "int8": "tinyint", "int16": "smallint", "int32": "int"}
 INTEGER_RANGE = (0, 100)
+BINARY_UNITS = ("KiB", "MiB", "GiB", "TiB")
 
 
 def affine(u: Column, lo: float, hi: float) -> Column:
@@ -146,9 +147,14 @@ def format_value(v: Column, dtype: str) -> Column:
     return F.when(v.isNull() | F.isnan(v), "NaN").otherwise(F.format_string("%.3f", v))
 
 
-def format_bytes(n: Column) -> Column:
-    """Binary units with one decimal."""
-    out = F.format_string("%.1f TiB", n / F.lit(float(1 << 40)))
-    for unit, shift in (("GiB", 30), ("MiB", 20), ("KiB", 10)):
-        out = F.when(n < (1 << (shift + 10)), F.format_string(f"%.1f {unit}", n / F.lit(float(1 << shift)))).otherwise(out)
+def format_bytes(n: Column, top: str = "TiB") -> Column:
+    """Binary units up to top with one decimal, ties to even as C's printf has them; null stays null."""
+    units = BINARY_UNITS[: BINARY_UNITS.index(top) + 1]
+    out = None
+    for k in range(len(units), 0, -1):
+        v = n.cast("double") / F.lit(float(1 << 10 * k))
+        tenths = F.rint((v - F.floor(v)) * 10).cast("long")  # 0 to 10, exact for whole n; format_string rounds ties up
+        whole = F.floor(v) + F.when(tenths == 10, 1).otherwise(0)
+        text = F.concat(whole.cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {units[k - 1]}"))
+        out = text if out is None else F.when(n < (1 << 10 * (k + 1)), text).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)

@@ -502,7 +502,7 @@ def unpack_int16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 7)::BIGINT AS n FROM orders)")
 def byte_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * 7).alias("n"))
-    return rows.select("o_orderkey", encode.format_bytes(F.col("n")).alias("size"))
+    return rows.select("o_orderkey", encode.format_bytes(F.col("n"), top="GiB").alias("size"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey, 2 AS parts, true AS sized FROM nation")

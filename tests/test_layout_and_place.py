@@ -106,3 +106,23 @@ def test_slabs_hold_every_day(spark, monkeypatch):
     assert len(got[0]) == 34 and got[0][0] == "1.00" and got[1][33] == "2.00"
     with pytest.raises(Exception, match="outside the shape"):
         layout.to_slabs(rows, "user_id", ["day"], {"user_id": 2, "day": 30}, "click").collect()
+
+
+def test_bytes_in_binary_units(spark):
+    """Ties go to even, null stays null."""
+    n = [None, 0, 1023, 1024, 1280, 1792, 2304, (1 << 20) - 1, 1 << 20, (1 << 30) - 1, 5 << 28, (1 << 40) - 1, 1 << 40, 5 << 38, (1 << 62) + 12345]
+    want = {x: None if x is None else f"{x} B" if x < 1024 else next(f"{x / (1 << s):.1f} {u}" for u, s in (("KiB", 10), ("MiB", 20), ("GiB", 30), ("TiB", 40)) if x < 1 << (s + 10) or u == "TiB") for x in n}
+    df = spark.createDataFrame([(x,) for x in n], "n long")
+    assert {r["n"]: r["size"] for r in df.select("n", format_bytes(F.col("n")).alias("size")).collect()} == want
+    assert (want[1280], want[1792], want[5 << 38]) == ("1.2 KiB", "1.8 KiB", "1.2 TiB")
+    assert df.select(format_bytes(F.lit((1 << 62) + 12345), "KiB")).first()[0] == "4503599627370508.0 KiB"
+
+
+def test_byte_units_end_at_gib(spark, monkeypatch):
+    """The largest unit of the query's SQL, whatever the key."""
+    from gridlab import queries
+
+    orders = spark.createDataFrame([(None,), (1,), (396324,), (396325,), (8999999,), (1100000000,)], "o_orderkey long")
+    monkeypatch.setattr(queries, "table", lambda *a: orders)
+    got = {r["o_orderkey"]: r["size"] for r in queries.byte_units(spark, "").collect()}
+    assert got == {None: None, 1: "7 B"} | {k: f"{7 * k * k / (1 << 30):.1f} GiB" for k in (396324, 396325, 8999999, 1100000000)}
